@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from kgraph.llm import mixing, packing
+from kgraph.llm import licenses, mixing, packing, sitetree, warc
 
 
 def queries():
-    return {"op1_mix_sources": mixing.op1_mix_sources, "op10_pack": packing.op10_pack}
+    return {
+        "op1_mix_sources": mixing.op1_mix_sources,
+        "op4_warc": warc.op4_warc,
+        "op6_license_scan": licenses.op6_license_scan,
+        "op8_extract": sitetree.op8_extract,
+        "op10_pack": packing.op10_pack,
+    }
 
 
 def oracle_sql():
-    return {"op1_mix_sources": mixing.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op4_warc": warc.ORACLE}
