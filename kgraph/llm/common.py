@@ -64,3 +64,29 @@ def ranked(df: DataFrame, keys: list[str], salt: str, order: list, buckets: int,
     offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return df.join(offsets, [*keys, "_bucket"]).withColumn(rank, F.col("_offset") + F.row_number().over(inside)).drop("_bucket", "_offset")
+
+
+def crc_mod5(col="doc_id"):
+    return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(5))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, longest: int) -> list[tuple[str, int]]:
+    """At most per_class texts of each label, of rows whose crc32(doc_id as text) mod 5 is not 0, in an order by hash.
+
+    Texts of over `longest` characters are no training rows. The result, 2 * per_class texts at most, goes to the driver.
+    """
+    marked = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(target).alias("_label")).where(crc_mod5() != 0)
+    picked = None
+    for label in (0, 1):
+        part = marked.where(F.col("_label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class)
+        picked = part if picked is None else picked.unionByName(part)
+    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    out = []
+    for label in (0, 1):
+        rows = texts.where(F.col("_label") == label).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(per_class).select("text").collect()
+        out += [(r["text"], label) for r in rows]
+    return out
+
+
+def pass_through(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)

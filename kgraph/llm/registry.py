@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from kgraph.llm import licenses, mixing, packing, sitetree, warc
+from kgraph.llm import licenses, linecrf, mixing, packing, quality, sitetree, toxicity, warc
 
 
 def queries():
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op4_warc": warc.op4_warc,
         "op6_license_scan": licenses.op6_license_scan,
+        "op7_quality": quality.op7_quality,
         "op8_extract": sitetree.op8_extract,
+        "op9_line_rules": linecrf.op9_line_rules,
         "op10_pack": packing.op10_pack,
     }
 
