@@ -14,7 +14,10 @@ table gives no pieces; texts of any length are cut.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -24,8 +27,11 @@ from pyspark.sql import functions as F
 from kgraph.llm.common import materialise, ranked, table
 
 SEQ_LEN, GRID, END_ID, BUCKETS = 2048, 16, 1, 16
-CACHED_WORDS, LONGEST_CACHED = 200_000, 40
-_BLANKS = str.maketrans("\t\n\v\f\r", "     ")
+CACHED_WORDS, LONGEST_CACHED = 400_000, 40
+#: marks that may follow a letter without changing how it is read
+_MARKS = ",.!?;:#*$%&"
+#: capitals whose small form depends on the place, or is longer
+_SPECIAL_CASE = re.compile("[\u03a3\u0130]|<[|]")
 
 
 def tokenizer_path() -> str:
@@ -37,8 +43,10 @@ def tokenizer_path() -> str:
 class WordIds:
     """Ids of whole texts as little-endian uint32 bytes.
 
-    This vocabulary drops white space and never merges across it, so a text's ids are its words' ids in order;
-    words are looked up in a bounded cache, misses are encoded in one batch.
+    This vocabulary lowers case, drops white space and never merges across it, nor across the border between a letter
+    and a mark; so a text's ids are those of its words, and a word's are those of its letters and of the marks after
+    them. Both are looked up in a bounded cache. Words of letters only go straight to the merge model, in its
+    byte alphabet; all others are encoded as they stand.
     """
 
     def __init__(self, path: str):
@@ -47,20 +55,44 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.cache = Tokenizer.from_file(path), {}
+        self.tok, self.cache, self.recent = Tokenizer.from_file(path), {}, []
+        self.merge = self.tok.model.tokenize
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the public byte alphabet: these bytes stand for themselves
+        rest = [b for b in range(256) if b not in set(shown)]
+        self.byte = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+    def _word(self, w: str) -> bytes:
+        if w.isalpha() and w.lower() == w and unicodedata.is_normalized("NFC", w):
+            units = w if w.isascii() else "".join(map(self.byte.__getitem__, w.encode()))
+            return array("I", [t.id for t in self.merge(units)]).tobytes()
+        letters = w.rstrip(_MARKS)
+        if letters and letters is not w and letters[-1].isalpha():
+            return self._known(letters) + self._known(w[len(letters) :])
+        return array("I", self.tok.encode(w, add_special_tokens=False).ids).tobytes()
+
+    def _known(self, w: str) -> bytes:
+        got = self.cache.get(w)
+        if got is None:
+            got = self._word(w)
+            if len(w) <= LONGEST_CACHED:
+                self.cache[w] = got
+        return got
 
     def __call__(self, text: str | None) -> bytes:
-        words = [w for w in (text or "").translate(_BLANKS).split(" ") if w]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        known = self.cache
-        if missing := [w for w in set(words) if w not in known]:
-            enc = self.tok.encode_batch(missing, add_special_tokens=False)
-            found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, enc)}
-            known.update((w, b) for w, b in found.items() if len(w) <= LONGEST_CACHED)
-            if any(len(w) > LONGEST_CACHED for w in missing):
-                return b"".join([known[w] if w in known else found[w] for w in words])
-        return b"".join(map(known.__getitem__, words))
+        text = text or ""
+        if not _SPECIAL_CASE.search(text):
+            text = text.lower()
+        for blank in "\t\n\v\f\r":
+            text = text.replace(blank, " ")
+        words = text.split(" ")
+        distinct = set(words)
+        distinct.discard("")
+        if len(self.cache) > CACHED_WORDS:  # keep what the last texts used
+            self.cache = {w: self.cache[w] for used in self.recent for w in used if w in self.cache}
+        self.recent = [*self.recent[-40:], distinct]
+        ids = {w: self._known(w) for w in distinct}
+        ids[""] = b""
+        return b"".join(map(ids.__getitem__, words))
 
 
 def cuts(total: int, seq_len: int = SEQ_LEN, grid: int = GRID) -> list[tuple[int, int]]:
