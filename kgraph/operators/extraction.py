@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgraph.functions.romanise import romanise
-from kgraph.functions.scalars import chunks, repaired
+from kgraph.functions.scalars import chunk_text, repaired
 from kgraph.operators.concepts import mention_times, mentions
 from kgraph.schemas import CONCEPT_REPLY, RELATION_REPLY
 
@@ -39,7 +39,14 @@ def ask(client: Client, template: str, text: str, retry_chars: int, **more) -> s
 
 
 def chunk_table(texts: DataFrame, size: int = 25_000, overlap: float = 0.2) -> DataFrame:
-    return texts.select("video_id", F.posexplode(chunks(romanise(F.col("full_text")), size, overlap)).alias("chunk", "text"))
+    """video_id, chunk, text: romanised and cut into overlapping chunks."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(v, i, c) for v, t in zip(pdf["video_id"], pdf["text"]) for i, c in enumerate(chunk_text(t, size, overlap))]
+            yield pd.DataFrame(rows, columns=["video_id", "chunk", "text"])
+
+    return texts.select("video_id", romanise(F.col("full_text")).alias("text")).mapInPandas(run, "video_id string, chunk int, text string")
 
 
 def _call(df: DataFrame, client: Client, template: str, retry_chars: int, extra: list[str]) -> DataFrame:

@@ -211,9 +211,9 @@ def frequency_score(spark, d):
     return c.select("video_id", "concept", F.round(C.damped(F.col("n"), ["video_id"]), 9).alias("frequency_score"))
 
 
-@query(f"WITH {SCORE_CTE} SELECT video_id, concept, round(score, 9) AS score FROM sc WHERE score >= 0.5")
+@query(f"WITH {SCORE_CTE} SELECT video_id, concept, round(score, 9) AS score FROM sc WHERE score >= 0.6")
 def min_score_filter(spark, d):
-    return C.keep_scored(scored(spark, d), 0.5).select("video_id", "concept", F.round("score", 9).alias("score"))
+    return C.keep_scored(scored(spark, d), 0.6).select("video_id", "concept", F.round("score", 9).alias("score"))
 
 
 AMBIGUOUS = {"this": ["license", "zz"], "that": ["hethth"], "with": ["tion"]}
