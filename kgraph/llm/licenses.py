@@ -26,25 +26,25 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 #: label, keyword that every form needs, name pattern, SPDX pattern, URL pattern
 FAMILIES = [
     ("gpl", "g", r"(?:gnu )?(?:gpl|general public licen[sc]e)", r"gpl-[123]\.0", r"gnu\.org/licenses/(?:old-licenses/)?gpl"),
-    ("gpl-2.0", "2", r"(?:gnu )?(?:gpl|general public licen[sc]e),? ?(?:version |v\.? ?)?2(?:\.0)?(?![\d.])", r"gpl-2\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2"),
-    ("gpl-3.0", "3", r"(?:gnu )?(?:gpl|general public licen[sc]e),? ?(?:version |v\.? ?)?3(?:\.0)?(?![\d.])", r"gpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/gpl-3"),
+    ("gpl-2.0", "2", r"(?:gnu )?(?:gpl|general public licen[sc]e),? ?(?:version |v\.? ?)?2(?:\.0)?(?!\.?\d)", r"gpl-2\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2"),
+    ("gpl-3.0", "3", r"(?:gnu )?(?:gpl|general public licen[sc]e),? ?(?:version |v\.? ?)?3(?:\.0)?(?!\.?\d)", r"gpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/gpl-3"),
     ("lgpl", "l", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public licen[sc]e)", r"lgpl-[23]\.[01](?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl"),
     ("lgpl-2.1", "2.1", r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e),? ?(?:version |v\.? ?)?2\.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
-    ("lgpl-3.0", "3", r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e),? ?(?:version |v\.? ?)?3(?:\.0)?(?![\d.])", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/lgpl-3"),
+    ("lgpl-3.0", "3", r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e),? ?(?:version |v\.? ?)?3(?:\.0)?(?!\.?\d)", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/lgpl-3"),
     ("agpl-3.0", "a", r"(?:gnu )?(?:agpl|affero general public licen[sc]e)(?:,? ?(?:version |v\.? ?)?3(?:\.0)?)?", r"agpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/agpl"),
     ("gfdl", "f", r"(?:gnu )?(?:gfdl|free documentation licen[sc]e)(?:,? (?:version |v)?1\.[123])?", r"gfdl-1\.[123](?:-only|-or-later)?", r"gnu\.org/licenses/fdl"),
     ("apache", "apache", r"apache(?: software)?(?: licen[sc]e)?", r"apache-[12]\.[01]", r"apache\.org/licenses"),
     ("apache-1.1", "1.1", r"apache(?: software)? licen[sc]e,? ?(?:version |v\.? ?)?1\.1", r"apache-1\.1", r"apache\.org/licenses/license-1\.1"),
-    ("apache-2.0", "2", r"apache(?: software)?(?: licen[sc]e)?,? ?(?:version |v\.? ?)?2(?:\.0)?(?![\d.])", r"apache-2\.0", r"apache\.org/licenses/license-2\.0"),
+    ("apache-2.0", "2", r"apache(?: software)?(?: licen[sc]e)?,? ?(?:version |v\.? ?)?2(?:\.0)?(?!\.?\d)", r"apache-2\.0", r"apache\.org/licenses/license-2\.0"),
     ("mit", "mit", r"(?:mit|expat)", r"mit", r"opensource\.org/licenses?/mit"),
     ("bsd", "bsd", r"bsd", r"bsd", r"opensource\.org/licenses?/bsd"),
     ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|(?:2|two)[- ]clause bsd|bsd[- ](?:2|two)[- ]clause)", r"bsd-2-clause", r"opensource\.org/licenses?/bsd-2-clause"),
     ("bsd-3-clause", "bsd", r"(?:(?:new|modified) bsd|(?:3|three)[- ]clause bsd|bsd[- ](?:3|three)[- ]clause)", r"bsd-3-clause", r"opensource\.org/licenses?/bsd-3-clause"),
     ("isc", "isc", r"isc", r"isc", r"opensource\.org/licenses?/isc"),
     ("mpl-1.1", "1.1", r"(?:mpl|mozilla public licen[sc]e),? ?(?:version |v\.? ?)?1\.1", r"mpl-1\.1", r"mozilla\.org/mpl/1\.1"),
-    ("mpl-2.0", "2", r"(?:mpl|mozilla public licen[sc]e),? ?(?:version |v\.? ?)?2(?:\.0)?(?![\d.])", r"mpl-2\.0", r"mozilla\.org/(?:en-us/)?mpl/2\.0"),
+    ("mpl-2.0", "2", r"(?:mpl|mozilla public licen[sc]e),? ?(?:version |v\.? ?)?2(?:\.0)?(?!\.?\d)", r"mpl-2\.0", r"mozilla\.org/(?:en-us/)?mpl/2\.0"),
     ("epl-1.0", "1.0", r"(?:epl|eclipse public licen[sc]e),? ?-? ?(?:version |v\.? ?)?1\.0", r"epl-1\.0", r"eclipse\.org/legal/epl-v10"),
-    ("epl-2.0", "2", r"(?:epl|eclipse public licen[sc]e),? ?-? ?(?:version |v\.? ?)?2(?:\.0)?(?![\d.])", r"epl-2\.0", r"eclipse\.org/legal/epl-2\.0"),
+    ("epl-2.0", "2", r"(?:epl|eclipse public licen[sc]e),? ?-? ?(?:version |v\.? ?)?2(?:\.0)?(?!\.?\d)", r"epl-2\.0", r"eclipse\.org/legal/epl-2\.0"),
     ("cddl", "cddl", r"(?:cddl|common development and distribution licen[sc]e)(?:,? (?:version |v)?1\.[01])?", r"cddl-1\.[01]", r"opensource\.org/licenses?/cddl"),
     ("cc0", "cc", r"(?:cc0|creative commons zero)(?: ?1\.0)?(?: universal)?", r"cc0-1\.0", r"creativecommons\.org/publicdomain/zero"),
     ("cc-by", "by", r"(?:cc[- ]by|creative commons attribution)", r"cc-by-[1-4]\.0", r"creativecommons\.org/licenses/by/"),

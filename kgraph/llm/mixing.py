@@ -62,8 +62,9 @@ def mix_plan(docs: DataFrame, size: str, weights=WEIGHTS, max_ratio=MAX_RATIO, s
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, max_ratio=MAX_RATIO, seed=SEED, buckets=BUCKETS) -> DataFrame:
     """The mix itself: every column of docs, each document as often as it is taken."""
-    plan = mix_plan(docs.withColumn("_words", size_of(F.col("text"))), "_words", weights, max_ratio, seed, buckets)
-    return plan.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "doc_id", "source", size_of(F.col("text")).alias("_words"))
+    plan = mix_plan(rows, "_words", weights, max_ratio, seed, buckets).where("copies > 0")
+    return plan.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ Two zstandard dictionaries are trained apart: one on windows of ordinary text, o
 documents, i.e. the words that stand in many contexts there and hardly any in ordinary ones. Each window of
 a text is compressed with the ordinary dictionary alone and with the toxic one before it; the bytes saved are the
 window's evidence. Evidence per document (largest, mean of the three largest, shares above two thresholds, smoothed for short texts) is turned
-into a probability by a logistic calibration fitted on labelled documents that trained no dictionary.
+into a probability by a logistic calibration, for which each half of the sample is seen through dictionaries of the other.
 
 Fitted on at most PER_CLASS labelled documents of each class (of up to LONGEST characters), whose crc32 mod 5
 is not 0; scoring reads whole texts of any length.
@@ -30,6 +30,8 @@ PER_CLASS, LONGEST = 1600, 60_000
 WINDOW, LEVEL, GRAM = 8, 12, 6
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 4_096
 LOW, HIGH = 3, 5
+#: how many times as often as in ordinary text a gram of toxic words must occur
+CONTRAST = 6
 _WORD = re.compile(r"\w+")
 
 
@@ -96,27 +98,36 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def dictionaries(toxic: list[str], ordinary: list[str], ct: dict[str, int], co: dict[str, int]) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) dictionary contents; ct and co are the texts' contexts."""
+    ratio = max(1.0, len(toxic) / len(ordinary))
+    least = max(3, 0.02 * len(toxic))
+    marks = {g for g, n in ct.items() if n >= least and n > CONTRAST * ratio * co.get(g, 0)}
+    words = [w for t in toxic for w in _WORD.findall(t.lower()) if not marks.isdisjoint(f" {w} "[i : i + GRAM] for i in range(max(1, len(w) + 3 - GRAM)))]
+    toxic_windows = [f" {' '.join(words[i : i + WINDOW])} ".encode() for i in range(0, len(words), WINDOW)]
+    plain_windows = [w for t in ordinary[:600] for w in windows(t)][:20_000]
+    return _train(plain_windows, ORDINARY_BYTES), _train(toxic_windows or [b" "], TOXIC_BYTES)
+
+
 def fit(sample: list[tuple[str, int]]) -> dict | None:
+    """Dictionaries of the whole sample; the calibration sees each half through the dictionaries of the other."""
     toxic, ordinary = [t for t, y in sample if y], [t for t, y in sample if not y]
     if not toxic or not ordinary:
         return None
-    train_t, train_o = toxic[::2], ordinary[::2]
-    ct, co = contexts(train_t), contexts(train_o)
-    ratio = max(1.0, len(train_t) / len(train_o))
-    least = max(3, 0.02 * len(train_t))
-    marks = {g for g, n in ct.items() if n >= least and n > 30 * ratio * co.get(g, 0)}
-    words = [w for t in train_t for w in _WORD.findall(t.lower()) if not marks.isdisjoint(f" {w} "[i : i + GRAM] for i in range(max(1, len(w) + 3 - GRAM)))]
-    toxic_windows = [f" {' '.join(words[i : i + WINDOW])} ".encode() for i in range(0, len(words), WINDOW)]
-    plain_windows = [w for t in train_o[:600] for w in windows(t)][:20_000]
-    model = {"ordinary": _train(plain_windows, ORDINARY_BYTES), "toxic": _train(toxic_windows or [b" "], TOXIC_BYTES)}
-    meter = Meter(model["ordinary"], model["toxic"])
-    held = [(t, 1) for t in toxic[1::2]] + [(t, 0) for t in ordinary[1::2]]
-    if len({y for _, y in held}) < 2:
-        held = sample
-    x, y = np.array([meter.evidence(t) for t, _ in held]), np.array([y for _, y in held], float)
+    if min(len(toxic), len(ordinary)) < 2:
+        toxic, ordinary = toxic * 2, ordinary * 2
+    halves = [(toxic[i::2], ordinary[i::2]) for i in (0, 1)]
+    seen = [(contexts(t), contexts(o)) for t, o in halves]
+    x, y = [], []
+    for (t, o), (ct, co), (other_t, other_o) in zip(halves, seen, halves[::-1]):
+        meter = Meter(*dictionaries(t, o, ct, co))
+        x += [meter.evidence(d) for d in (*other_t, *other_o)]
+        y += [1.0] * len(other_t) + [0.0] * len(other_o)
+    x, y = np.array(x), np.array(y)
+    both = [{g: a.get(g, 0) + b.get(g, 0) for g in a.keys() | b.keys()} for a, b in zip(*seen)]
+    plain, harsh = dictionaries(toxic, ordinary, *both)
     mean, scale = x.mean(0), x.std(0) + 1e-6
-    model |= {"mean": mean, "scale": scale, "weights": _logistic(np.c_[(x - mean) / scale, np.ones(len(x))], y)}
-    return model
+    return {"ordinary": plain, "toxic": harsh, "mean": mean, "scale": scale, "weights": _logistic(np.c_[(x - mean) / scale, np.ones(len(x))], y)}
 
 
 def score_toxicity(docs: DataFrame, model: dict | None) -> DataFrame:

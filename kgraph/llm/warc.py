@@ -101,7 +101,7 @@ def _record(buf: bytes, at: int = 0):
     head = {}
     for line in buf[at:stop].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
-        if not colon:
+        if not colon or b"\r" in line or b"\n" in line:
             raise Damaged("bad header line")
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     if not head.get("content-length", "").isdigit():
