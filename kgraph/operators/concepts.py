@@ -27,16 +27,23 @@ def _hint(terms: DataFrame) -> DataFrame:
 def term_counts(texts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     """keys, term, n: occurrences of each term at word borders; overlaps with other terms all count.
 
-    Texts are cut into words, blanks and marks once; a term can only start where its first token stands, so texts meet
-    terms in an equi-join on that token, and the rest of the term is compared there. No text is scanned per term.
+    Texts are cut into words, blanks and marks once. Only at tokens that some term begins with is the text after them
+    kept (a hash lookup; a dictionary beyond BROADCAST_TERMS skips it), and an equi-join on that token finds the
+    terms. No text is scanned per term.
     """
-    toks = F.regexp_extract_all(F.lower(F.col("text")), F.lit(f"(?U){TOKEN}"), F.lit(0))
     longest = 12
-    spans = bind(toks, lambda ts: F.transform(ts, lambda t, i: F.struct(t.alias("head"), F.slice(ts, i + 1, longest).alias("rest"))))
-    heads = texts.select(*keys, F.explode(F.filter(spans, lambda s: s["head"].rlike(r"(?U)^\w"))).alias("s")).select(*keys, F.col("s.head").alias("head"), F.col("s.rest").alias("rest"))
     parts = F.regexp_extract_all(F.lower(F.col("term")), F.lit(f"(?U){TOKEN}"), F.lit(0))
-    dim = terms.select("term").distinct().withColumn("parts", parts).where(F.size("parts") <= longest).withColumn("head", F.element_at("parts", 1))
-    hits = heads.join(_hint(dim), "head").where(F.slice("rest", 1, F.size("parts")) == F.col("parts"))
+    dim = terms.select("term").distinct().withColumn("parts", parts).where((F.size("parts") > 0) & (F.size("parts") <= longest)).withColumn("head", F.element_at("parts", 1))
+    rows = dim.limit(BROADCAST_TERMS + 1).collect()
+    small = len(rows) <= BROADCAST_TERMS
+    heads = sorted({r["head"] for r in rows})
+    if small:
+        dim = F.broadcast(terms.sparkSession.createDataFrame(rows, dim.schema))
+    starts = (lambda t: t.isin(heads)) if small else (lambda t: t.rlike(r"(?U)^\w"))
+    toks = F.regexp_extract_all(F.lower(F.col("text")), F.lit(f"(?U){TOKEN}"), F.lit(0))
+    spans = bind(toks, lambda ts: F.transform(ts, lambda t, i: F.when(starts(t) & t.rlike(r"(?U)^\w"), F.struct(t.alias("head"), F.slice(ts, i + 1, longest).alias("rest")))))
+    at = texts.select(*keys, F.explode(F.filter(spans, lambda s: s.isNotNull())).alias("s")).select(*keys, F.col("s.head").alias("head"), F.col("s.rest").alias("rest"))
+    hits = at.join(dim, "head").where(F.slice("rest", 1, F.size("parts")) == F.col("parts"))
     return hits.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -55,7 +55,8 @@ def texts(spark, d):
 
 def dictionary(frame: DataFrame, n: int = N_TERMS) -> DataFrame:
     words = frame.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("term")).where(F.col("term").rlike("^[a-z]{4,}$"))
-    return words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(n)
+    top = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(n)
+    return frame.sparkSession.createDataFrame(top.collect(), "term string, n long")  # n rows
 
 
 def counts(spark, d):
