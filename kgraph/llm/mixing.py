@@ -52,8 +52,7 @@ def mix_plan(docs: DataFrame, size: str, weights=WEIGHTS, max_ratio=MAX_RATIO, s
     before = Window.partitionBy("_key").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
     by_class = by_class.select("_key", "_class", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_below"))
     small = by_class.join(targets, "_key")
-    out = ranked(sized, ["_key", "_class"], "doc_id", ["doc_id", "_size"], buckets)
-    out = out.join(small, ["_key", "_class"])
+    out = ranked(sized, ["_key", "_class"], "doc_id", ["doc_id", "_size"], buckets, attach=small)
     k = (F.col("_below") + F.col("_rank")).cast("double")
     crossed = F.floor(k * F.col("_rate") + F.col("_shift")) - F.floor((k - 1) * F.col("_rate") + F.col("_shift"))
     out = out.withColumn("copies", crossed.cast("long")).withColumn("taken", F.col("copies") * F.col("_size"))
