@@ -30,7 +30,7 @@ from kgraph.llm.common import materialise, table
 from kgraph.llm.components import components
 
 SHINGLE, SMALL, BLOCK = 5, 8, 512
-BUCKET_SIGNATURES, BIN_MEMBERS, BROADCAST_ROWS = 3_000_000, 40_000, 500_000
+BUCKET_SIGNATURES, BIN_MEMBERS, BROADCAST_ROWS = 1_000_000, 4_000, 500_000
 U = np.uint64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLANK = np.zeros(256, bool)
@@ -213,7 +213,7 @@ def candidates(docs: DataFrame, buckets: int) -> DataFrame:
         return pd.concat([x.astype({"a": "Int64", "b": "Int64", "group": "Int64", "members": object}) for x in (a, b)], ignore_index=True)
 
     signed = docs.select("text").mapInPandas(emit, "bucket int, sigs binary, nodes binary")
-    return materialise(signed.groupBy("bucket").applyInPandas(gather, "a long, b long, `group` long, members binary"), "candidates")
+    return materialise(signed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(gather, "a long, b long, `group` long, members binary"), "candidates")
 
 
 def _fits(n_a, n_b) -> np.ndarray:
