@@ -1,13 +1,12 @@
-"""Shared helpers: word pattern, bucketed ranking, materialised intermediate tables."""
+"""Shared helpers: word pattern, bucketed ranking, labelled samples."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kgraph.operators.iterate import materialise, new_path  # noqa: F401
+
 #: A word is a run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,37 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or one below the warehouse where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir") + "/_work"
-    return root.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended: the folder's own retention removes it
-        pass
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_root(spark)}/kgraph-{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage is cut, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucket_of(col, buckets: int):
     """A bucket 0..buckets-1 from md5, which other SQL engines have as well; buckets is at most 65536."""
     return F.pmod(F.conv(F.substring(F.md5(F.coalesce(col.cast("string"), F.lit(""))), 1, 4), 16, 10).cast("int"), F.lit(buckets))
@@ -90,7 +58,3 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
         rows = texts.where(F.col("_label") == label).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(per_class).select("text").collect()
         out += [(r["text"], label) for r in rows]
     return out
-
-
-def pass_through(df: DataFrame, names: list[str]) -> str:
-    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
