@@ -23,56 +23,56 @@ CHUNK, AHEAD = 2000, 300
 #: phrase -> label of the base detections
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: label, keyword that every form needs, name pattern, SPDX pattern, URL pattern
+#: label, words of which every match of any form holds one, name pattern, SPDX pattern, URL pattern
 FAMILIES = [
-    ("gpl", "g", r"(?:gnu )?(?:gpl|general public licen[sc]e)", r"gpl-[123]\.0", r"gnu\.org/licenses/(?:old-licenses/)?gpl"),
-    ("gpl-2.0", "2", r"(?:gnu )?(?:gpl|general public licen[sc]e),? ?(?:version |v\.? ?)?2(?:\.0)?(?!\.?\d)", r"gpl-2\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2"),
-    ("gpl-3.0", "3", r"(?:gnu )?(?:gpl|general public licen[sc]e),? ?(?:version |v\.? ?)?3(?:\.0)?(?!\.?\d)", r"gpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/gpl-3"),
-    ("lgpl", "l", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public licen[sc]e)", r"lgpl-[23]\.[01](?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl"),
-    ("lgpl-2.1", "2.1", r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e),? ?(?:version |v\.? ?)?2\.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
-    ("lgpl-3.0", "3", r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e),? ?(?:version |v\.? ?)?3(?:\.0)?(?!\.?\d)", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/lgpl-3"),
-    ("agpl-3.0", "a", r"(?:gnu )?(?:agpl|affero general public licen[sc]e)(?:,? ?(?:version |v\.? ?)?3(?:\.0)?)?", r"agpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/agpl"),
-    ("gfdl", "f", r"(?:gnu )?(?:gfdl|free documentation licen[sc]e)(?:,? (?:version |v)?1\.[123])?", r"gfdl-1\.[123](?:-only|-or-later)?", r"gnu\.org/licenses/fdl"),
+    ("gpl", "gpl general", r"(?:gnu )?(?:gpl|general public licen[sc]e)", r"gpl-[123]\.0", r"gnu\.org/licenses/(?:old-licenses/)?gpl"),
+    ("gpl-2.0", "gpl general", r"(?:gnu )?(?:gpl|general public licen[sc]e),? ?(?:version |v\.? ?)?2(?:\.0)?(?!\.?\d)", r"gpl-2\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2"),
+    ("gpl-3.0", "gpl general", r"(?:gnu )?(?:gpl|general public licen[sc]e),? ?(?:version |v\.? ?)?3(?:\.0)?(?!\.?\d)", r"gpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/gpl-3"),
+    ("lgpl", "lgpl lesser library", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public licen[sc]e)", r"lgpl-[23]\.[01](?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl"),
+    ("lgpl-2.1", "lgpl lesser", r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e),? ?(?:version |v\.? ?)?2\.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
+    ("lgpl-3.0", "lgpl lesser", r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e),? ?(?:version |v\.? ?)?3(?:\.0)?(?!\.?\d)", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/lgpl-3"),
+    ("agpl-3.0", "agpl affero", r"(?:gnu )?(?:agpl|affero general public licen[sc]e)(?:,? ?(?:version |v\.? ?)?3(?:\.0)?)?", r"agpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/agpl"),
+    ("gfdl", "fdl documentation", r"(?:gnu )?(?:gfdl|free documentation licen[sc]e)(?:,? (?:version |v)?1\.[123])?", r"gfdl-1\.[123](?:-only|-or-later)?", r"gnu\.org/licenses/fdl"),
     ("apache", "apache", r"apache(?: software)?(?: licen[sc]e)?", r"apache-[12]\.[01]", r"apache\.org/licenses"),
-    ("apache-1.1", "1.1", r"apache(?: software)? licen[sc]e,? ?(?:version |v\.? ?)?1\.1", r"apache-1\.1", r"apache\.org/licenses/license-1\.1"),
-    ("apache-2.0", "2", r"apache(?: software)?(?: licen[sc]e)?,? ?(?:version |v\.? ?)?2(?:\.0)?(?!\.?\d)", r"apache-2\.0", r"apache\.org/licenses/license-2\.0"),
-    ("mit", "mit", r"(?:mit|expat)", r"mit", r"opensource\.org/licenses?/mit"),
+    ("apache-1.1", "apache", r"apache(?: software)? licen[sc]e,? ?(?:version |v\.? ?)?1\.1", r"apache-1\.1", r"apache\.org/licenses/license-1\.1"),
+    ("apache-2.0", "apache", r"apache(?: software)?(?: licen[sc]e)?,? ?(?:version |v\.? ?)?2(?:\.0)?(?!\.?\d)", r"apache-2\.0", r"apache\.org/licenses/license-2\.0"),
+    ("mit", "mit expat", r"(?:mit|expat)", r"mit", r"opensource\.org/licenses?/mit"),
     ("bsd", "bsd", r"bsd", r"bsd", r"opensource\.org/licenses?/bsd"),
     ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|(?:2|two)[- ]clause bsd|bsd[- ](?:2|two)[- ]clause)", r"bsd-2-clause", r"opensource\.org/licenses?/bsd-2-clause"),
     ("bsd-3-clause", "bsd", r"(?:(?:new|modified) bsd|(?:3|three)[- ]clause bsd|bsd[- ](?:3|three)[- ]clause)", r"bsd-3-clause", r"opensource\.org/licenses?/bsd-3-clause"),
     ("isc", "isc", r"isc", r"isc", r"opensource\.org/licenses?/isc"),
-    ("mpl-1.1", "1.1", r"(?:mpl|mozilla public licen[sc]e),? ?(?:version |v\.? ?)?1\.1", r"mpl-1\.1", r"mozilla\.org/mpl/1\.1"),
-    ("mpl-2.0", "2", r"(?:mpl|mozilla public licen[sc]e),? ?(?:version |v\.? ?)?2(?:\.0)?(?!\.?\d)", r"mpl-2\.0", r"mozilla\.org/(?:en-us/)?mpl/2\.0"),
-    ("epl-1.0", "1.0", r"(?:epl|eclipse public licen[sc]e),? ?-? ?(?:version |v\.? ?)?1\.0", r"epl-1\.0", r"eclipse\.org/legal/epl-v10"),
-    ("epl-2.0", "2", r"(?:epl|eclipse public licen[sc]e),? ?-? ?(?:version |v\.? ?)?2(?:\.0)?(?!\.?\d)", r"epl-2\.0", r"eclipse\.org/legal/epl-2\.0"),
-    ("cddl", "cddl", r"(?:cddl|common development and distribution licen[sc]e)(?:,? (?:version |v)?1\.[01])?", r"cddl-1\.[01]", r"opensource\.org/licenses?/cddl"),
-    ("cc0", "cc", r"(?:cc0|creative commons zero)(?: ?1\.0)?(?: universal)?", r"cc0-1\.0", r"creativecommons\.org/publicdomain/zero"),
-    ("cc-by", "by", r"(?:cc[- ]by|creative commons attribution)", r"cc-by-[1-4]\.0", r"creativecommons\.org/licenses/by/"),
-    ("cc-by-sa", "sa", r"(?:cc[- ]by[- ]sa)(?: ?[1-4]\.[05])?", r"cc-by-sa-[1-4]\.[05]", r"creativecommons\.org/licenses/by-sa/"),
-    ("cc-by-nc", "nc", r"(?:cc[- ]by[- ]nc)(?: ?[1-4]\.[05])?(?![- ](?:sa|nd))", r"cc-by-nc-[1-4]\.[05]", r"creativecommons\.org/licenses/by-nc/"),
-    ("cc-by-nd", "nd", r"(?:cc[- ]by[- ]nd)(?: ?[1-4]\.[05])?", r"cc-by-nd-[1-4]\.[05]", r"creativecommons\.org/licenses/by-nd/"),
-    ("cc-by-nc-sa", "sa", r"(?:cc[- ]by[- ]nc[- ]sa)(?: ?[1-4]\.[05])?", r"cc-by-nc-sa-[1-4]\.[05]", r"creativecommons\.org/licenses/by-nc-sa/"),
-    ("cc-by-nc-nd", "nd", r"(?:cc[- ]by[- ]nc[- ]nd)(?: ?[1-4]\.[05])?", r"cc-by-nc-nd-[1-4]\.[05]", r"creativecommons\.org/licenses/by-nc-nd/"),
-    ("cc-by-4.0", "4", r"(?:cc[- ]by|creative commons attribution) ?4\.0", r"cc-by-4\.0", r"creativecommons\.org/licenses/by/4\.0"),
+    ("mpl-1.1", "mpl mozilla", r"(?:mpl|mozilla public licen[sc]e),? ?(?:version |v\.? ?)?1\.1", r"mpl-1\.1", r"mozilla\.org/mpl/1\.1"),
+    ("mpl-2.0", "mpl mozilla", r"(?:mpl|mozilla public licen[sc]e),? ?(?:version |v\.? ?)?2(?:\.0)?(?!\.?\d)", r"mpl-2\.0", r"mozilla\.org/(?:en-us/)?mpl/2\.0"),
+    ("epl-1.0", "epl eclipse", r"(?:epl|eclipse public licen[sc]e),? ?-? ?(?:version |v\.? ?)?1\.0", r"epl-1\.0", r"eclipse\.org/legal/epl-v10"),
+    ("epl-2.0", "epl eclipse", r"(?:epl|eclipse public licen[sc]e),? ?-? ?(?:version |v\.? ?)?2(?:\.0)?(?!\.?\d)", r"epl-2\.0", r"eclipse\.org/legal/epl-2\.0"),
+    ("cddl", "cddl development", r"(?:cddl|common development and distribution licen[sc]e)(?:,? (?:version |v)?1\.[01])?", r"cddl-1\.[01]", r"opensource\.org/licenses?/cddl"),
+    ("cc0", "cc0 zero", r"(?:cc0|creative commons zero)(?: ?1\.0)?(?: universal)?", r"cc0-1\.0", r"creativecommons\.org/publicdomain/zero"),
+    ("cc-by", "cc creative", r"(?:cc[- ]by|creative commons attribution)", r"cc-by-[1-4]\.0", r"creativecommons\.org/licenses/by/"),
+    ("cc-by-sa", "cc creative", r"(?:cc[- ]by[- ]sa)(?: ?[1-4]\.[05])?", r"cc-by-sa-[1-4]\.[05]", r"creativecommons\.org/licenses/by-sa/"),
+    ("cc-by-nc", "cc creative", r"(?:cc[- ]by[- ]nc)(?: ?[1-4]\.[05])?(?![- ](?:sa|nd))", r"cc-by-nc-[1-4]\.[05]", r"creativecommons\.org/licenses/by-nc/"),
+    ("cc-by-nd", "cc creative", r"(?:cc[- ]by[- ]nd)(?: ?[1-4]\.[05])?", r"cc-by-nd-[1-4]\.[05]", r"creativecommons\.org/licenses/by-nd/"),
+    ("cc-by-nc-sa", "cc creative", r"(?:cc[- ]by[- ]nc[- ]sa)(?: ?[1-4]\.[05])?", r"cc-by-nc-sa-[1-4]\.[05]", r"creativecommons\.org/licenses/by-nc-sa/"),
+    ("cc-by-nc-nd", "cc creative", r"(?:cc[- ]by[- ]nc[- ]nd)(?: ?[1-4]\.[05])?", r"cc-by-nc-nd-[1-4]\.[05]", r"creativecommons\.org/licenses/by-nc-nd/"),
+    ("cc-by-4.0", "cc creative", r"(?:cc[- ]by|creative commons attribution) ?4\.0", r"cc-by-4\.0", r"creativecommons\.org/licenses/by/4\.0"),
     ("artistic-2.0", "artistic", r"artistic(?: licen[sc]e)?,? ?(?:version |v)?2\.0", r"artistic-2\.0", r"opensource\.org/licenses?/artistic-2\.0"),
     ("zlib", "zlib", r"zlib(?:/libpng)?", r"zlib", r"opensource\.org/licenses?/zlib"),
-    ("boost-1.0", "b", r"(?:boost software licen[sc]e|bsl)[- ,]{0,3}(?:version |v)?1\.0", r"bsl-1\.0", r"boost\.org/license_1_0"),
+    ("boost-1.0", "boost bsl", r"(?:boost software licen[sc]e|bsl)[- ,]{0,3}(?:version |v)?1\.0", r"bsl-1\.0", r"boost\.org/license_1_0"),
     ("unlicense", "unlicense", r"unlicense", r"unlicense", r"unlicense\.org"),
     ("wtfpl", "wtfpl", r"wtfpl", r"wtfpl", r"wtfpl\.net"),
-    ("ofl-1.1", "o", r"(?:sil )?(?:ofl|open font licen[sc]e)(?:,? ?(?:version |v)?1\.1)?", r"ofl-1\.1", r"scripts\.sil\.org/ofl"),
-    ("python-2.0", "p", r"(?:psf|python software foundation)(?: licen[sc]e)?(?:,? ?(?:version |v)?2)?", r"(?:psf|python)-2\.0", r"docs\.python\.org/\d(?:\.\d+)?/license"),
-    ("odbl", "od", r"(?:odbl|open database licen[sc]e)(?:,? ?(?:version |v)?1\.0)?", r"odbl-1\.0", r"opendatacommons\.org/licenses/odbl"),
-    ("eupl", "e", r"(?:eupl|european union public licen[sc]e)(?:,? ?(?:version |v)?1\.[12])?", r"eupl-1\.[12]", r"eupl\.eu"),
+    ("ofl-1.1", "ofl font", r"(?:sil )?(?:ofl|open font licen[sc]e)(?:,? ?(?:version |v)?1\.1)?", r"ofl-1\.1", r"scripts\.sil\.org/ofl"),
+    ("python-2.0", "psf python", r"(?:psf|python software foundation)(?: licen[sc]e)?(?:,? ?(?:version |v)?2)?", r"(?:psf|python)-2\.0", r"docs\.python\.org/\d(?:\.\d+)?/license"),
+    ("odbl", "odbl database", r"(?:odbl|open database licen[sc]e)(?:,? ?(?:version |v)?1\.0)?", r"odbl-1\.0", r"opendatacommons\.org/licenses/odbl"),
+    ("eupl", "eupl european", r"(?:eupl|european union public licen[sc]e)(?:,? ?(?:version |v)?1\.[12])?", r"eupl-1\.[12]", r"eupl\.eu"),
 ]
 
-#: form, keyword, pattern around the name (N), SPDX (S) or URL (U), priority
+#: form, words of which every match holds one, pattern around the name (N), SPDX (S) or URL (U), priority
 FORMS = [
     ("spdx", "spdx", r"spdx-license-identifier:\s*\(?S(?![a-z0-9.+-])", 95),
     ("url", "://", r"https?://(?:www\.)?U", 90),
     ("notice", "under", r"(?:licensed|released|distributed|published|available|provided|redistributed)\s+under\s+(?:the\s+)?(?:terms\s+(?:and\s+conditions\s+)?of\s+)?(?:the\s+|an?\s+)?N(?:\s+licen[sc]e)?(?![a-z0-9])", 85),
     ("under", "under", r"under\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+|an?\s+)?N\s+licen[sc]e(?![a-z0-9])", 80),
     ("field", "licen", r"licen[sc]e\s*[:=]\s*[\"']?(?:the\s+)?N(?![a-z0-9])", 75),
-    ("subject", "licen", r"(?:subject\s+to|covered\s+by|governed\s+by)\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?N(?:\s+licen[sc]e)?(?![a-z0-9])", 70),
+    ("subject", "subject covered governed", r"(?:subject\s+to|covered\s+by|governed\s+by)\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?N(?:\s+licen[sc]e)?(?![a-z0-9])", 70),
     ("copy", "copy", r"copy\s+of\s+the\s+N(?:\s+licen[sc]e)?(?![a-z0-9])", 65),
     ("title", "licen", r"(?<![a-z0-9])N\s+licen[sc]e(?![a-z0-9])", 50),
 ]
@@ -94,8 +94,8 @@ TEXTS = [
 GATE = sorted({"spdx", "licens", "licenc", "://", "copy of the ", "subject to", "covered by", "governed by", " under "} | {t[1] for t in TEXTS})
 
 
-def rules() -> list[tuple[str, str, str, str, int]]:
-    """(label, keyword, second keyword, pattern, priority), in order."""
+def _rules() -> list[tuple[str, str, str, str, int]]:
+    """(label, words of the form, words of the family, pattern, priority), in order; a match holds one of each."""
     out = []
     for _, kw, form, priority in FORMS:
         for label, own, name, spdx, url in FAMILIES:
@@ -104,6 +104,12 @@ def rules() -> list[tuple[str, str, str, str, int]]:
     return out + [(label, kw, kw, pattern, priority) for label, kw, pattern, priority in TEXTS]
 
 
+def rules() -> list[tuple[str, str, str, str, int]]:
+    """(label, keyword, second keyword, pattern, priority), in order; a keyword is empty where a match may hold one of several."""
+    one = lambda words: "" if " " in words else words
+    return [(label, one(kw), one(own), pattern, priority) for label, kw, own, pattern, priority in _rules()]
+
+
 def _bind(value: Column, body):
     """body(value) with value computed once."""
     return F.transform(F.array(value), body)[0]
@@ -131,13 +137,27 @@ def _surviving(dets: Column) -> Column:
     return _bind(dets, lambda all_: F.filter(all_, lambda d: ~F.exists(all_, lambda e: beats(e, d))))
 
 
+def _has(text: Column, words: Column) -> Column:
+    return F.exists(words, lambda w: F.contains(text, w))
+
+
+def _table() -> Column:
+    """The rules under the words of their form: array<struct<kw, rules>>."""
+    words = lambda ws: F.array(*map(F.lit, ws.split(" ")))
+    forms: dict[str, list[Column]] = {}
+    for i, (a, b, c, d, e) in enumerate(_rules()):
+        forms.setdefault(b, []).append(F.struct(F.lit(a).alias("label"), words(c).alias("kw"), F.lit(d).alias("pattern"), F.lit(e).alias("priority"), F.lit(i).alias("no")))
+    return F.array(*[F.struct(words(b).alias("kw"), F.array(*rs).alias("rules")) for b, rs in forms.items()])
+
+
 def detections(low: Column) -> Column:
     """array<struct<label, priority>> of the surviving detections of a lower-cased text."""
-    table_ = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("kw"), F.lit(c).alias("kw2"), F.lit(d).alias("pattern"), F.lit(e).alias("priority"), F.lit(i).alias("no")) for i, (a, b, c, d, e) in enumerate(rules())])
+    table_ = _table()
     cut = lambda group: F.regexp_extract_all(low, F.lit(rf"(?s)(.{{1,{CHUNK}}})(?=(.{{0,{AHEAD}}}))"), F.lit(group))
     gate = lambda c: F.exists(F.array(*map(F.lit, GATE)), lambda k: F.contains(c, k))
     chunks = F.filter(F.zip_with(cut(1), cut(2), lambda a, b: F.struct(F.concat(a, b).alias("text"), F.length(a).alias("own"))), lambda c: gate(c["text"]))
-    of_chunk = lambda c: F.filter(_surviving(F.flatten(F.transform(F.filter(table_, lambda r: F.contains(c["text"], r["kw"]) & F.contains(c["text"], r["kw2"])), lambda r: _matches(c["text"], r)))), lambda d: d["at"] < c["own"])
+    some = lambda x: F.flatten(F.transform(F.filter(table_, lambda f: _has(x, f["kw"])), lambda f: F.filter(f["rules"], lambda r: _has(x, r["kw"]))))
+    of_chunk = lambda c: F.filter(_surviving(F.flatten(F.transform(some(c["text"]), lambda r: _matches(c["text"], r)))), lambda d: d["at"] < c["own"])
     return F.transform(F.flatten(F.transform(chunks, of_chunk)), lambda d: F.struct(d["label"].alias("label"), d["priority"].alias("priority")))
 
 

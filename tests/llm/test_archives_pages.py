@@ -129,6 +129,34 @@ def test_licences_are_brute_forces(spark):
     assert len(licenses.rules()) > 250
 
 
+def brute_detections(text):
+    """Labels and best priority by every pattern over the whole text, without any keyword."""
+    low = re.sub(r"[A-Z]", lambda m: m[0].lower(), text)
+    found = [(m.start(), m.end(), label, priority, no) for no, (label, _, _, pattern, priority) in enumerate(licenses.rules()) for m in re.finditer(pattern, low, re.A)]
+    beats = lambda e, d: e[0] <= d[0] and e[1] >= d[1] and (e[3], e[1] - e[0], -e[4]) > (d[3], d[1] - d[0], -d[4])
+    left = [d for d in found if not any(beats(e, d) for e in found)]
+    return {d[2] for d in left}, max((d[3] for d in left), default=0) / 100
+
+
+def holds_brute_detections(spark, cases):
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    for r in licenses.scan_licenses(df).collect():
+        labels, score = brute_detections(cases[r["doc_id"]])
+        base = set(filter(None, r["base_labels"].split(",")))
+        assert set(filter(None, r["labels"].split(","))) == labels | base, cases[r["doc_id"]][:300]
+        assert r["score"] == max(score, 0.5 if base else 0.0)
+
+
+def test_licence_rules_run_without_their_usual_words(spark):
+    cases = [
+        "Released under the Expat License.", "the expat license", "Licensed under Creative Commons Attribution", "under a Creative Commons Zero license", "https://creativecommons.org/publicdomain/zero/1.0/",
+        "distributed under the Common Development and Distribution License", "made available under the Open Database License", "http://www.eclipse.org/legal/epl-v10.html", "this file is covered by the MPL 2.0 here",
+        "subject to the Expat", "governed by the terms of the General Public License", "https://scripts.sil.org/OFL", "https://www.gnu.org/licenses/fdl.html", "SPDX-License-Identifier: Python-2.0",
+    ]
+    assert all(brute_detections(c)[0] for c in cases)
+    holds_brute_detections(spark, cases)
+
+
 def test_licences_in_a_very_long_text(spark):
     t = "filler words " * 300 + "Licensed under the Apache License, Version 2.0. " + "more words " * 3000 + "MIT License"
     r = licenses.scan_licenses(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
