@@ -83,15 +83,15 @@ TEXTS = [
     ("isc", "permission", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software", 60),
     ("bsd", "redistribution", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", 60),
     ("apache-2.0", "compliance", r"you\s+may\s+not\s+use\s+this\s+file\s+except\s+in\s+compliance\s+with\s+the\s+licen[sc]e", 60),
-    ("gpl", "free software", r"this\s+program\s+is\s+free\s+software[:;,]\s+you\s+can\s+redistribute\s+it", 60),
-    ("unlicense", "public domain", r"this\s+is\s+free\s+and\s+unencumbered\s+software\s+released\s+into\s+the\s+public\s+domain", 60),
-    ("public-domain", "public domain", r"(?:dedicated|released)\s+(?:in)?to\s+the\s+public\s+domain", 55),
-    ("proprietary", "rights reserved", r"all\s+rights\s+reserved(?![a-z])", 30),
+    ("gpl", "redistribute", r"this\s+program\s+is\s+free\s+software[:;,]\s+you\s+can\s+redistribute\s+it", 60),
+    ("unlicense", "unencumbered", r"this\s+is\s+free\s+and\s+unencumbered\s+software\s+released\s+into\s+the\s+public\s+domain", 60),
+    ("public-domain", "domain", r"(?:dedicated|released)\s+(?:in)?to\s+the\s+public\s+domain", 55),
+    ("proprietary", "reserved", r"all\s+rights\s+reserved(?![a-z])", 30),
     ("proprietary", "confidential", r"proprietary\s+and\s+confidential", 40),
 ]
 
-#: what a chunk must hold for any rule: the forms' keywords and the texts'
-GATE = sorted({"spdx", "licens", "licenc", "://", "copy of the ", "subject to", "covered by", "governed by", " under "} | {t[1] for t in TEXTS})
+#: what a chunk must hold for any rule: the forms' words and the texts'; single words, as white space in a notice varies
+GATE = sorted({w for f in FORMS for w in f[1].split(" ")} | {t[1] for t in TEXTS})
 
 
 def _rules() -> list[tuple[str, str, str, str, int]]:

@@ -157,6 +157,13 @@ def test_licence_rules_run_without_their_usual_words(spark):
     holds_brute_detections(spark, cases)
 
 
+def test_wrapped_licence_notices(spark):
+    plain = ["Released under the GPL version 3", "All rights reserved", "dedicated to the public domain", "a copy of the MPL 2.0", "subject to the MPL 2.0", "covered by the GPL", "governed by the GPL", "This program is free software; you can redistribute it"]
+    cases = [t.replace(" ", blank) for t in plain for blank in ("\n", "  ", "\r\n\t")]
+    assert all(brute_detections(c)[0] for c in cases)
+    holds_brute_detections(spark, cases)
+
+
 def test_licences_in_a_very_long_text(spark):
     t = "filler words " * 300 + "Licensed under the Apache License, Version 2.0. " + "more words " * 3000 + "MIT License"
     r = licenses.scan_licenses(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
