@@ -1,9 +1,12 @@
 """Licence scan: ordered signature rules behind a keyword prefilter, in DataFrame functions only.
 
 A few hundred rules are built from licence families and notice forms. A text is looked at only where a keyword
-of a rule occurs: it is cut into chunks of 2000 characters with 300 more to look ahead, so work per chunk is
-bounded for texts of any length, and a match belongs to the chunk in which it starts. A detection is
-dropped if a detection of higher priority (then: longer, then: earlier rule) contains its interval.
+of a rule occurs: it is cut into chunks of 2000 characters with 600 more to look back and 300 ahead, so work per chunk
+is bounded for texts of any length, and a match belongs to the chunk in which it starts. No match is longer than 300
+characters, as runs of over 8 white-space characters or 16 digits are shortened first, which changes no match. A
+detection is dropped if a detection of higher priority (then: longer, then: earlier rule) contains its interval; all that
+could contain it lie in its chunk's reach. Only where matches of one rule overlap each other in an unbroken chain
+of over 300 characters can a chunk count other links of the chain than a scan of the whole text.
 
 Defined results: null text is empty text (no words, no labels, score 0); repeated rows give repeated results; an
 empty table gives an empty result; other columns are not read.
@@ -18,7 +21,7 @@ from kgraph.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-CHUNK, AHEAD = 2000, 300
+CHUNK, AHEAD, BACK = 2000, 300, 600
 
 #: phrase -> label of the base detections
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -153,11 +156,18 @@ def _table() -> Column:
 def detections(low: Column) -> Column:
     """array<struct<label, priority>> of the surviving detections of a lower-cased text."""
     table_ = _table()
-    cut = lambda group: F.regexp_extract_all(low, F.lit(rf"(?s)(.{{1,{CHUNK}}})(?=(.{{0,{AHEAD}}}))"), F.lit(group))
     gate = lambda c: F.exists(F.array(*map(F.lit, GATE)), lambda k: F.contains(c, k))
-    chunks = F.filter(F.zip_with(cut(1), cut(2), lambda a, b: F.struct(F.concat(a, b).alias("text"), F.length(a).alias("own"))), lambda c: gate(c["text"]))
+    short = F.regexp_replace(F.regexp_replace(low, r"\s{9,}", " " * 8), r"(\d{8})\d+(\d{8})", "$1$2")
+
+    def chunk(own: Column, a: Column, i: Column) -> Column:
+        back = F.coalesce(F.right(F.get(own, i - 1), F.lit(BACK)), F.lit(""))
+        ahead = F.coalesce(F.left(F.get(own, i + 1), F.lit(AHEAD)), F.lit(""))
+        return F.struct(F.concat(back, a, ahead).alias("text"), F.length(back).alias("start"), (F.length(back) + F.length(a)).alias("stop"))
+
+    pieces = F.regexp_extract_all(short, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    chunks = _bind(pieces, lambda own: F.filter(F.transform(own, lambda a, i: chunk(own, a, i)), lambda c: gate(c["text"])))
     some = lambda x: F.flatten(F.transform(F.filter(table_, lambda f: _has(x, f["kw"])), lambda f: F.filter(f["rules"], lambda r: _has(x, r["kw"]))))
-    of_chunk = lambda c: F.filter(_surviving(F.flatten(F.transform(some(c["text"]), lambda r: _matches(c["text"], r)))), lambda d: d["at"] < c["own"])
+    of_chunk = lambda c: F.filter(_surviving(F.flatten(F.transform(some(c["text"]), lambda r: _matches(c["text"], r)))), lambda d: (d["at"] >= c["start"]) & (d["at"] < c["stop"]))
     return F.transform(F.flatten(F.transform(chunks, of_chunk)), lambda d: F.struct(d["label"].alias("label"), d["priority"].alias("priority")))
 
 

@@ -164,6 +164,26 @@ def test_wrapped_licence_notices(spark):
     holds_brute_detections(spark, cases)
 
 
+def test_no_licence_match_is_longer_than_a_chunk_looks_ahead():
+    from re import _parser
+
+    for *_, pattern, _ in licenses.rules():
+        bounded = re.sub(r"\\s[+*]", r"\\s{1,8}", pattern.replace(r"[-\s+", "[-x")).replace(r"\d+", r"\d{1,16}")
+        assert _parser.parse(bounded).getwidth()[1] <= licenses.AHEAD < licenses.BACK // 2 + 1, pattern
+
+
+def test_licences_at_every_cut_offset(spark):
+    notice = "submit license\nlicensed under the new bsd license and\n" + "released under" + " \n" * 400 + "the GPL version 3, All rights\nreserved"
+    lead, tail = len("submit license licensed under the new bsd license "), " filler words" * 60
+    cases = ["x " * ((licenses.CHUNK - k) // 2) + "y" * (k % 2) + " " + notice + tail for k in range(-4, lead + 40)]
+    cases += ["word " * 398 + "z" * k + " licensed" + "\n" * 900 + "under the MIT license" + tail for k in range(10)]
+    cases += ["word " * 390 + "z" * k + " https://docs.python.org/3." + "1" * 500 + "/license" + tail for k in range(0, 40, 4)]
+    holds_brute_detections(spark, cases)
+    clean = ["x" * (licenses.CHUNK - k - 1) + " submit license under review" + tail for k in range(-2, 12)]
+    assert all(not brute_detections(c)[0] for c in clean)
+    holds_brute_detections(spark, clean)
+
+
 def test_licences_in_a_very_long_text(spark):
     t = "filler words " * 300 + "Licensed under the Apache License, Version 2.0. " + "more words " * 3000 + "MIT License"
     r = licenses.scan_licenses(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
