@@ -29,13 +29,13 @@ def term_counts(texts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFram
 
     Texts are cut into words, blanks and marks once. Only at tokens that some term begins with is the text after them
     kept (a hash lookup; a dictionary beyond BROADCAST_TERMS skips it), and an equi-join on that token finds the
-    terms. No text is scanned per term.
+    terms. No text is scanned per term. What is kept is as long as the longest term, counted in words, blanks and marks.
     """
-    longest = 12
     parts = F.regexp_extract_all(F.lower(F.col("term")), F.lit(f"(?U){TOKEN}"), F.lit(0))
-    dim = terms.select("term").distinct().withColumn("parts", parts).where((F.size("parts") > 0) & (F.size("parts") <= longest)).withColumn("head", F.element_at("parts", 1))
+    dim = terms.select("term").distinct().withColumn("parts", parts).where(F.size("parts") > 0).withColumn("head", F.element_at("parts", 1))
     rows = dim.limit(BROADCAST_TERMS + 1).collect()
     small = len(rows) <= BROADCAST_TERMS
+    longest = max((len(r["parts"]) for r in rows), default=1) if small else dim.agg(F.max(F.size("parts"))).first()[0]
     heads = sorted({r["head"] for r in rows})
     if small:
         dim = F.broadcast(terms.sparkSession.createDataFrame(rows, dim.schema))

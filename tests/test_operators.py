@@ -86,6 +86,18 @@ def test_config(tmp_path):
     assert validate(str(p)) and validate(str(tmp_path / "none.yaml"))
 
 
+def test_terms_of_any_length_count(spark):
+    long = ["one two three four five six seven", "time complexity of o(n log n)", " ".join(f"w{i}" for i in range(60)), "two"]
+    text = f"{long[0]}. The {long[1]} is {long[2]}, then {long[2]}"
+    terms = spark.createDataFrame([(t,) for t in long], "term string")
+    texts = spark.createDataFrame([("v", text)], "video_id string, text string")
+    got = {r["term"]: r["n"] for r in C.term_counts(texts, terms, ["video_id"]).collect()}
+    assert got == dict(zip(long, (1, 1, 2, 1)))
+    segments = spark.createDataFrame([("v", 0, 0.0, "00:00", text)], "video_id string, seg_id int, start double, timestamp_label string, text string")
+    assert {r["name"] for r in C.mentions(segments, terms.withColumnRenamed("term", "name")).collect()} == set(long)
+    assert C.term_counts(texts, terms.limit(0), ["video_id"]).count() == 0
+
+
 def test_overlapping_terms_all_count(spark):
     t = spark.createDataFrame([("v", "Binary search tree, binary  search; o(n)x and arrays")], "video_id string, text string")
     terms = spark.createDataFrame([(x,) for x in ("binary search tree", "binary search", "tree", "array", "arrays", "o(n)")], "term string")
