@@ -39,22 +39,15 @@ DROP_NAMES = set(
     "related recommended comment comments commentlist disqus reply replies respond discussion widget toolbar login signup pagination pager skip".split()
 )
 _ATTR = re.compile(r"""([a-zA-Z_:][^\s=/>]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_TAG = re.compile(r"""<(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))*+>""")
 _DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"[^\s/>]+")
 
 
 def _tag_end(s: str, at: int) -> int:
-    """Where the tag that starts at `at` ends ('>'), quotes respected; -1 if nowhere."""
-    end = s.find(">", at)
-    while end >= 0:
-        part = s[at:end]
-        if part.count('"') % 2 == 0 or s.find('"', end) < 0:
-            if part.count('"') or part.count("'") % 2 == 0 or s.find("'", end) < 0:
-                return end
-        if end - at > 20_000:
-            return s.find(">", at)
-        end = s.find(">", end + 1)
-    return s.find(">", at)
+    """Where the tag that starts at `at` ends ('>'), quoted values respected; the first '>' if a quote never closes; -1 if nowhere."""
+    m = _TAG.match(s, at)
+    return m.end() - 1 if m else s.find(">", at)
 
 
 class _Node:

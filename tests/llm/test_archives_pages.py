@@ -200,6 +200,14 @@ def test_main_text():
     assert sitetree.main_text("a < b") == "a < b" and sitetree.main_text("<div class='ad'><p>x</div>y") == "y"
 
 
+def test_tags_of_any_length_end_outside_their_quotes():
+    for n in (10, 19_990, 30_000, 2_000_000):
+        for value in ('"' + "<b>x" * (n // 4) + '"', "'" + '{"a": ">"} ' * (n // 11) + "'"):
+            assert sitetree.main_text(f"<div data-x={value} id=a><p class='b' >Text</p></div>") == "Text"
+    assert sitetree.main_text('<p title="never closed>one</p><p>two') == "one\ntwo"
+    assert sitetree.main_text("<p>a</p>" + '<p x="1"y>b</p>' * 3 + "<p title=it's>c</p><p>it's</p>") == "a\nb\nb\nb\nc\nit's"
+
+
 def test_branches_that_repeat_on_a_site_go(spark):
     rows_ = [(i, f"http://site/{i}", f"<body><div class='x{i}'><p>Welcome to our site</p></div><div class=body><p>Story {i} is about thing {i * i}</p></div></body>") for i in range(8)]
     rows_.append((99, "http://alone/", "<body><div><p>Welcome to our site</p></div></body>"))
