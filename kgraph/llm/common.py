@@ -1,9 +1,14 @@
-"""Shared helpers: word pattern, bucketed ranking, labelled samples."""
+"""Shared helpers: word pattern, bucketed ranking, labelled samples and their models, Arrow in and out (ids stay 64-bit integers)."""
 
 from __future__ import annotations
 
+import pickle
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kgraph.operators.iterate import materialise, new_path  # noqa: F401
 
@@ -42,19 +47,69 @@ def crc_mod5(col="doc_id"):
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(5))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, longest: int) -> list[tuple[str, int]]:
-    """At most per_class texts of each label, of rows whose crc32(doc_id as text) mod 5 is not 0, in an order by hash.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, longest: int) -> DataFrame:
+    """(text, label): at most per_class texts of each label, of rows whose crc32(doc_id as text) mod 5 is not 0, by label and then by hash.
 
-    Texts of over `longest` characters are no training rows. The result, 2 * per_class texts at most, goes to the driver.
+    Texts of over `longest` characters are no training rows.
     """
-    marked = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(target).alias("_label")).where(crc_mod5() != 0)
+    marked = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("_label")).where(crc_mod5() != 0)
     picked = None
     for label in (0, 1):
         part = marked.where(F.col("_label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class)
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    out = []
-    for label in (0, 1):
-        rows = texts.where(F.col("_label") == label).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(per_class).select("text").collect()
-        out += [(r["text"], label) for r in rows]
-    return out
+    texts = texts.select("doc_id", "text", "_label", F.xxhash64("doc_id").alias("_h"), F.xxhash64("text").alias("_t"))
+    place = F.row_number().over(Window.partitionBy("_label").orderBy("_h", "doc_id", "_t"))  # of 2 * per_class rows, but for repeated ids
+    return texts.withColumn("_n", place).where(F.col("_n") <= per_class).select("text", F.col("_label").alias("label"), "_n")
+
+
+def fitted(sample: DataFrame, fit) -> bytes | None:
+    """fit(rows (text, label), by label and place) of a bounded sample, run in one executor task; the pickled model, null for none."""
+
+    def run(batches):
+        rows = []
+        for batch in batches:
+            rows += zip(*(batch.column(i).to_pylist() for i in range(3)))
+        rows.sort(key=lambda r: (r[1], r[2]))
+        model = fit([(text, label) for text, label, _ in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([None if model is None else pickle.dumps(model)], pa.binary())], names=["model"])
+
+    got = [r["model"] for r in sample.repartition(1).mapInArrow(run, "model binary").collect() if r["model"] is not None]
+    return bytes(got[0]) if got else None
+
+
+def slices(batches, rows: int = 200):
+    """Arrow batches in pieces, so that few Python strings live at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def kept_rows(df: DataFrame, column: str, verdicts) -> DataFrame:
+    """df without the rows that verdicts(values of the column) rejects; all other columns pass through as they are."""
+    at = df.columns.index(column)
+
+    def run(batches):
+        judge = verdicts()
+        for piece in slices(batches):
+            yield piece.filter(pa.array(np.asarray(judge(piece.column(at).to_pylist()), bool)))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def with_columns(df: DataFrame, column: str, added: str, compute) -> DataFrame:
+    """df without `column`, and the columns of the schema text `added`: one list each from compute()(values of the column)."""
+    kept = [c for c in df.columns if c != column]
+    rest = df.select(*[df[c] for c in kept], df[column])
+    schema = T.StructType([*rest.schema.fields[:-1], *T.StructType.fromDDL(added).fields])
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        f = compute()
+        kinds = [to_arrow_type(x.dataType) for x in schema.fields[len(kept) :]]
+        for piece in slices(batches):
+            new = [pa.array(v, k) for v, k in zip(f(piece.column(len(kept)).to_pylist()), kinds)]
+            yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(len(kept))), *new], names=schema.names)
+
+    return rest.mapInArrow(run, schema)

@@ -2,31 +2,31 @@
 
 Lines carry shape features (length, symbols, capitals, digits, table bars, repeats, ends of sentences). The
 field has two states, content and boilerplate. It is trained by gradient ascent on the likelihood of labelled documents'
-lines: those of low-quality documents count as boilerplate, those of others as content. A document is kept if
+lines: those of low-quality documents count as boilerplate, those of others as content. As a document has one label, chains
+that join a good and a bad document teach the steps between the states. A document is kept if
 no base rule fails and the lines decoded as content hold at least KEEP of its word characters.
 
-Fitted on at most PER_CLASS labelled documents of each class (of up to LONGEST characters and LINES lines), whose crc32
+Fitted in one executor task on at most PER_CLASS labelled documents of each class (of up to LONGEST characters and LINES lines), whose crc32
 mod 5 is not 0; counting and decoding read whole texts of any length.
 
 Defined results: a null text has no words and fails the base rule; lines without words are skipped; without labels of both
 classes only the base rules decide; repeated rows give repeated results; an empty table gives an empty result;
-other columns are not read by `line_rules` and pass through `filter_lines`.
+other columns are not read by `line_rules` and pass through `filter_lines` as they are.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from kgraph.llm.common import labelled_sample, table
+from kgraph.llm.common import fitted, kept_rows, labelled_sample, table, with_columns
 
 PER_CLASS, LONGEST, LINES = 600, 60_000, 80
 KEEP, MIN_WORDS, MAX_REPEAT = 0.5, 10, 20
 STEPS, RATE, RIDGE = 80, 0.1, 1e-3
 BLANKS, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
-_FOLD = str.maketrans({b: " " for b in BLANKS})
 N_FEATURES = 16
 
 
@@ -36,15 +36,21 @@ def line_features(line: str, words: list[str], repeated: bool) -> list[float]:
     letters = sum(map(str.isalpha, words))
     upper = sum(map(str.isupper, words))
     same = sum(map(str.__eq__, words[1:], words))
-    last = line.rstrip()[-1:]
+    last = words[-1][-1]
     return [1.0, n < 3, n < 8, n >= 20, symbols > 0.02 * chars, symbols > 0.08 * chars, line.count("|") > 2, upper > 0.5 * n, line.count("!") > 0.3 * n, same > 0.15 * n, same > 0.5 * n, letters < 0.4 * n, last in ".!?", repeated, sum(map(str.isdigit, words)) > 0.2 * n, "http" in line or "©" in line or "@" in line]
 
 
+def split_words(text: str) -> list[str]:
+    for b in BLANKS[1:]:
+        text = text.replace(b, " ")
+    return [w for w in text.split(" ") if w]
+
+
 def featurise(text: str):
     """(matrix, word characters) of the lines that hold a word."""
     rows, weights, seen = [], [], set()
     for line in text.split("\n"):
-        words = [w for w in line.translate(_FOLD).split(" ") if w] if len(line) < 200 else line.split()
+        words = split_words(line)
         if words:
             rows.append(line_features(line, words, line in seen))
             weights.append(sum(map(len, words)))
@@ -52,21 +58,34 @@ def featurise(text: str):
     return np.array(rows, float).reshape(-1, N_FEATURES), np.array(weights, float)
 
 
+def chains(sample: list[tuple[str, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, states) of training chains: each document's lines, and lines of a good and of a bad document one after the other."""
+    one = [(x, np.full(len(x), 0 if y else 1)) for t, y in sample if 0 < len(x := featurise(t)[0]) <= LINES]
+    good, bad = [c for c in one if c[1][0] == 0], [c for c in one if c[1][0] == 1]
+    if not good or not bad:
+        return []
+    both = []
+    for i in range(max(len(good), len(bad))):
+        pair = [good[i % len(good)], bad[i % len(bad)]]
+        both.append(tuple(np.concatenate(part) for part in zip(*(pair if i % 2 else pair[::-1]))))
+    return one + both
+
+
 def fit(sample: list[tuple[str, int]]) -> dict | None:
     """Weights of (features -> boilerplate) and transitions; label 1 is content."""
-    docs = [(x, y) for t, y in sample if 0 < len(x := featurise(t)[0]) <= LINES]
-    if len({y for _, y in docs}) < 2:
+    docs = chains(sample)
+    if not docs:
         return None
     width = max(len(x) for x, _ in docs)
     x = np.zeros((len(docs), width, N_FEATURES))
-    mask = np.zeros((len(docs), width))
-    for i, (m, _) in enumerate(docs):
-        x[i, : len(m)], mask[i, : len(m)] = m, 1
-    y = np.array([0 if y else 1 for _, y in docs])  # state of all lines: 1 is boilerplate
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / mask.sum(1)
+    mask, y = np.zeros((len(docs), width)), np.zeros((len(docs), width))
+    for i, (m, states) in enumerate(docs):
+        x[i, : len(m)], mask[i, : len(m)], y[i, : len(m)] = m, 1, states
+    share = np.array([states.mean() for _, states in docs])  # of boilerplate lines
+    weight = np.where(share == 1, 0.5 / max((share == 1).mean(), 1e-9), np.where(share == 0, 0.5 / max((share == 0).mean(), 1e-9), 0.5)) / mask.sum(1)
+    step_to = [[(mask[:, 1:] * (y[:, :-1] == a) * (y[:, 1:] == b)).sum(1) for b in (0, 1)] for a in (0, 1)]
     w, trans = np.zeros(N_FEATURES), np.zeros((2, 2))
     mw, vw, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros_like(trans), np.zeros_like(trans)
-    pairs = mask.sum(1) - 1
     for step in range(1, STEPS + 1):
         e = np.zeros((len(docs), width, 2))
         e[..., 1] = x @ w
@@ -80,13 +99,12 @@ def fit(sample: list[tuple[str, int]]) -> dict | None:
             b = np.logaddexp(trans[:, 0] + e[:, t + 1, 0, None] + backward[:, t + 1, 0, None], trans[:, 1] + e[:, t + 1, 1, None] + backward[:, t + 1, 1, None])
             backward[:, t] = np.where(mask[:, t + 1, None] > 0, b, 0.0)
         p = np.exp(np.clip(forward + backward - z[:, None, None], -50, 0)) * mask[..., None]
-        gw = np.einsum("i,it,itf->f", weight, (y[:, None] - p[..., 1]) * mask, x) / len(docs) - RIDGE * w
+        gw = np.einsum("i,it,itf->f", weight, (y - p[..., 1]) * mask, x) / len(docs) - RIDGE * w
         gt = -RIDGE * trans
         for a in (0, 1):
             for b in (0, 1):
                 pair = np.exp(np.clip(forward[:, :-1, a] + trans[a, b] + e[:, 1:, b] + backward[:, 1:, b] - z[:, None], -50, 0)) * mask[:, 1:]
-                seen = pairs * ((y == a) & (y == b))
-                gt[a, b] += (weight * (seen - pair.sum(1))).sum() / len(docs)
+                gt[a, b] += (weight * (step_to[a][b] - pair.sum(1))).sum() / len(docs)
         for q, g, m, v in ((w, gw, mw, vw), (trans, gt, mt, vt)):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
@@ -119,12 +137,6 @@ def content_share(text: str, model: dict | None) -> float:
     return float(chars[viterbi(x @ model["w"], model["trans"]) == 0].sum() / chars.sum())
 
 
-def split_words(text: str) -> list[str]:
-    for b in BLANKS[1:]:
-        text = text.replace(b, " ")
-    return [w for w in text.split(" ") if w]
-
-
 def repeat_words(words: list[str]) -> int:
     """Words in 5-word windows found twice or more."""
     n = len(words)
@@ -175,32 +187,28 @@ def judge(text, model: dict | None):
     return (*counts, failed, not failed and share >= KEEP, share)
 
 
-def line_rules(docs: DataFrame, model: dict | None) -> DataFrame:
-    columns = [*(c.split()[0] for c in COUNTS.split(", ")), "base_failed", "kept", "content_share"]
+def line_rules(docs: DataFrame, model: bytes | None) -> DataFrame:
+    """doc_id, the five counts, base_failed, kept and content_share; model is pickled, as `trained` gives it."""
 
-    def run(batches):
-        for pdf in batches:
-            rows = pd.DataFrame([judge(t, model) for t in pdf["text"]], columns=columns, index=pdf.index)
-            yield pd.concat([pdf[["doc_id"]], rows], axis=1)
+    def compute():
+        m = pickle.loads(model) if model else None
+        return lambda texts: list(zip(*(judge(t, m) for t in texts))) or [[]] * 8
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {COUNTS}, base_failed boolean, kept boolean, content_share double")
+    return with_columns(docs.select("doc_id", "text"), "text", f"{COUNTS}, base_failed boolean, kept boolean, content_share double", compute)
 
 
-def filter_lines(docs: DataFrame, model: dict | None) -> DataFrame:
+def filter_lines(docs: DataFrame, model: bytes | None) -> DataFrame:
     """docs without those rejected."""
 
-    def run(batches):
-        for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                part = pdf.iloc[lo : lo + 500]
-                yield part[np.array([judge(t, model)[6] for t in part["text"]], bool)]
+    def verdicts():
+        m = pickle.loads(model) if model else None
+        return lambda texts: [judge(t, m)[6] for t in texts]
 
-    return docs.mapInPandas(run, docs.schema)
+    return kept_rows(docs, "text", verdicts)
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> dict | None:
-    return fit(labelled_sample(docs, labels, "quality", PER_CLASS, LONGEST))
+def trained(docs: DataFrame, labels: DataFrame) -> bytes | None:
+    return fitted(labelled_sample(docs, labels, "quality", PER_CLASS, LONGEST), fit)
 
 
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

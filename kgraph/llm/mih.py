@@ -2,9 +2,9 @@
 
 Vectors are coded in bits by rotations learned on a bounded sample (iterative quantisation from several starts; vectors
 of unequal norms get one more coordinate, so that the angle orders inner products). Codes are split into 16-bit
-substrings, each indexed. A code within Hamming radius r of a query differs in at most r / m bits from it in
-one of m substrings, so probing the near buckets of every substring retrieves every code within r; these are checked
-against r and reranked by inner product in double precision. The radius is the Hamming distance that RECALL of the
+substrings, each indexed by its value. With r = m * a + b, a code within Hamming radius r of a query differs from it in at
+most a bits in one of the first b + 1 of m substrings or in at most a - 1 in one of the others, so probing these
+buckets retrieves every code within r; they are checked against r and reranked by inner product in double precision. The radius is the Hamming distance that RECALL of the
 sample's nearest neighbours lie within. If a block of the index holds fewer than k such codes, the radius grows
 there until it does.
 
@@ -28,6 +28,7 @@ from kgraph.llm.common import materialise, table
 K, BITS, SUB, SAMPLE, RECALL, SEED = 20, 128, 16, 4096, 0.975, 11
 INDEX_ROWS, QUERY_ROWS, ITERATIONS = 32_768, 4096, 25
 _POP = np.array([bin(i).count("1") for i in range(1 << SUB)], np.uint8)
+WITHIN = [np.nonzero(_POP <= d)[0] for d in range(SUB + 1)]
 
 
 class Coder:
@@ -72,19 +73,48 @@ class Coder:
         return int(np.quantile(d, RECALL, method="higher"))
 
 
+class Buckets:
+    """The rows of a block by the values of each substring."""
+
+    def __init__(self, codes: np.ndarray):
+        self.rows, self.values, self.start, self.at = [], [], [], []
+        for j in range(codes.shape[1]):
+            order = np.argsort(codes[:, j], kind="stable").astype(np.int32)
+            values, start = np.unique(codes[order, j], return_index=True)
+            at = np.full(1 << SUB, -1, np.int32)
+            at[values] = np.arange(len(values))
+            self.rows.append(order)
+            self.values.append(values)
+            self.start.append(np.r_[start, len(order)].astype(np.int32))
+            self.at.append(at)
+
+    def probe(self, j: int, value: int, near: int) -> np.ndarray:
+        """Rows whose substring j is within `near` bits of value: by all such values, or by the values that there are, whichever are fewer."""
+        if len(WITHIN[near]) < len(self.values[j]):
+            b = self.at[j][WITHIN[near] ^ value]
+            b = b[b >= 0]
+        else:
+            b = np.nonzero(_POP[self.values[j] ^ np.uint16(value)] <= near)[0]
+        lo = self.start[j][b]
+        n = self.start[j][b + 1] - lo
+        upto = np.cumsum(n)
+        return self.rows[j][np.repeat(lo - upto + n, n) + np.arange(upto[-1] if len(n) else 0)]
+
+
 def search(index_ids, index, index_codes, query_ids, queries, query_codes, radius: int, k: int):
     """Rows (query_id, vec_id, score): each query's k best of this block."""
     m, n = index_codes.shape[1], len(index)
-    values, slot = zip(*(np.unique(index_codes[:, j], return_inverse=True) for j in range(m)))  # the substring indexes
-    slot = [s.astype(np.int32) for s in slot]
+    buckets = Buckets(index_codes)
     words = np.ascontiguousarray(index_codes).view(np.uint64)
     qwords = np.ascontiguousarray(query_codes).view(np.uint64)
-    near = radius // m
+    least, more = divmod(radius, m)  # pigeonhole: one of the first more + 1 substrings is within least, or one of the others within least - 1
     out = []
     for i in range(len(queries)):
         hit = np.zeros(n, bool)
-        for j in range(m):  # pigeonhole: some substring is within near
-            hit |= (_POP[values[j] ^ query_codes[i, j]] <= near)[slot[j]]
+        for j in range(m):
+            near = least if j <= more else least - 1
+            if near >= 0:
+                hit[buckets.probe(j, int(query_codes[i, j]), min(near, SUB))] = True
         at = np.nonzero(hit)[0]
         dist = np.bitwise_count(words[at] ^ qwords[i]).sum(1)
         at = at[dist <= radius]
@@ -95,10 +125,10 @@ def search(index_ids, index, index_codes, query_ids, queries, query_codes, radiu
             reach = dist.max() if n <= k else np.partition(dist, k - 1)[k - 1]
             at = np.nonzero((dist <= reach) & (dist < 1 << 20))[0]
         score = index[at] @ queries[i]
-        if len(at) > 4 * k:
+        if len(at) > 4 * k:  # as sums in another order differ in the last bits, some more are kept
             floor = np.partition(score, len(score) - k)[len(score) - k]
-            keep = score >= floor - 1e-12
-            at, score = at[keep], score[keep]
+            slack = 1e-12 * np.sqrt((queries[i] ** 2).sum()) * np.sqrt((index[at] ** 2).sum(1))
+            at = at[score >= floor - slack - 1e-12 * abs(floor)]
         score = (index[at] * queries[i]).sum(1)  # in one order of summation, so that equal vectors tie
         best = np.lexsort((index_ids[at], -score))[:k]
         out.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": index_ids[at[best]], "score": score[best]}))

@@ -1,12 +1,18 @@
 """Main-text extraction with a site style tree.
 
-The pages of a host are merged into one tree whose nodes are paths of block elements (tag, classes and id, digits
-folded). Over all pages of a host a node has two distributions: of the child sequences it shows (presentation) and of
-the text it holds (content). Their entropies, divided by the largest possible, give its importance; a branch
-whose importance is low over at least `min_pages` sightings repeats itself on the site and is removed from every
-page. Elements whose markup names them as menu, header, footer, sidebar, notice, advert, form or comments are
-never content; an `article` or `main` element is never removed for repeating, as mirrored pages share one; and a page that
-would lose all of its text keeps what markup alone allows.
+The pages of a host are merged into one tree whose nodes are paths of elements (tag, classes and id, digits folded); every
+branch that holds text takes part, below an article as well. Over the pages of a host a node has two
+distributions: of the child sequences it shows (presentation) and of the texts it holds (content). Their entropies,
+divided by the largest possible, give its importance, 1 where fewer than `min_pages` pages show the node. A text that a
+node holds on n of its m pages has the importance 1 - log n / log m (its own entropy over pages). Pages with equal
+html count once, below an article those with equal article text, so that mirrors do not make an article look repeated.
+
+On a page a branch weighs its importance times a prior that its markup gives: NAMED for elements that name themselves menu,
+header, footer, sidebar, notice, advert, form or comments, LINKED for lists of links outside articles, 0 for hidden ones, else
+1. Branches under `low` go, as do repeated texts under `low` (below an article: texts of more than half of at least
+MIN_ARTICLES articles). An `article` or `main` element itself, and whatever holds all of a page's, is never removed by its
+name or importance. A page that would be left empty keeps a branch that only its class names speak against, if the tree
+holds it important and most of the page's text stands there.
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as it goes (unclosed tags end with
 their parents, an unclosed comment or script runs to the end); repeated rows give repeated results; a null or odd url
@@ -18,30 +24,36 @@ from __future__ import annotations
 import html as _html
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgraph.llm.common import materialise, table
+from kgraph.llm.common import materialise, slices, table, with_columns
 
-LOW, MIN_PAGES, PRESENTATION = 0.3, 4, 0.1
+LOW, MIN_PAGES, MIN_ARTICLES, PRESENTATION = 0.3, 4, 8, 0.1
+NAMED, LINKED, SURE = 0.25, 0.3, 0.8
 BROADCAST_ROWS = 200_000
 
-RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "svg", "math", "title", "xmp", "noembed", "noframes", "object", "canvas", "select", "option"}
+RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "title", "desc", "metadata", "xmp", "noembed", "noframes", "object", "canvas", "select", "option"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = set(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var "
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover semantics svg g text tspan path circle rect line polygon polyline ellipse defs use".split()
+)
 CLOSED_BY_SAME = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
-DROP_TAGS = {"nav", "footer", "aside", "form", "button", "fieldset", "dialog", "menu", "head"}
-DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
-DROP_NAMES = set(
+NOISE_TAGS = {"nav", "footer", "aside", "form", "button", "fieldset", "dialog", "menu", "head"}
+NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
+NOISE_NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb "
     "breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription social share sharing "
     "related recommended comment comments commentlist disqus reply replies respond discussion widget toolbar login signup pagination pager skip".split()
 )
-_ATTR = re.compile(r"""([a-zA-Z_:][^\s=/>]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTR = re.compile(r"""([a-zA-Z_:][^\s=/>"']*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _TAG = re.compile(r"""<(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))*+>""")
+_CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 _DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"[^\s/>]+")
+HIDDEN, BY_TAG, BY_NAME = 1, 2, 4
 
 
 def _tag_end(s: str, at: int) -> int:
@@ -50,39 +62,45 @@ def _tag_end(s: str, at: int) -> int:
     return m.end() - 1 if m else s.find(">", at)
 
 
-class _Node:
-    __slots__ = ("tag", "path", "dropped", "kept", "children", "blocks")
+class Node:
+    """An element: its path, what its markup says against it, whether it is or stands in an article or main element."""
+
+    __slots__ = ("path", "against", "kept", "main", "parent", "children")
 
-    def __init__(self, tag, path, dropped, kept):
-        self.tag, self.path, self.dropped, self.kept, self.children, self.blocks = tag, path, dropped, kept, [], 0
+    def __init__(self, path: str, against: int, kept: bool, main: bool, parent: int):
+        self.path, self.against, self.kept, self.main, self.parent, self.children = path, against, kept, main, parent, []
 
 
-def parse(source: str | None):
-    """(blocks, nodes): blocks are [text, index of node], nodes are (path, dropped, kept, parent, child keys)."""
+def parse(source: str | None) -> tuple[list[tuple[str, int, bool]], list[Node]]:
+    """(blocks, nodes): blocks are (text, index of its node, whether all of it stands in links); nodes[0] is the page."""
     s = source or ""
-    low = None
-    nodes = [["", False, False, -1, []]]
+    nodes = [Node("", 0, False, False, -1)]
     stack: list[tuple[str, int]] = [("", 0)]
-    blocks: list[tuple[str, int]] = []
+    blocks: list[tuple[str, int, bool]] = []
     text: list[str] = []
+    links = plain = 0
 
     def flush():
+        nonlocal plain
         if text:
             t = " ".join(_html.unescape("".join(text)).split())
             text.clear()
             if t:
-                blocks.append((t, stack[-1][1]))
+                blocks.append((t, stack[-1][1], not plain))
+        plain = 0
 
     at, n = 0, len(s)
     while at < n:
         lt = s.find("<", at)
+        piece = s[at:] if lt < 0 else s[at:lt]
+        if piece:
+            text.append(piece)
+            if not links and not piece.isspace():
+                plain = 1
         if lt < 0:
-            text.append(s[at:])
             break
-        if lt > at:
-            text.append(s[at:lt])
         c = s[lt + 1 : lt + 2]
-        if c == "!":
+        if c == "!" or c == "?":
             if s.startswith("<!--", lt):
                 end = s.find("-->", lt + 4)
                 at = n if end < 0 else end + 3
@@ -90,10 +108,6 @@ def parse(source: str | None):
                 end = s.find(">", lt)
                 at = n if end < 0 else end + 1
             continue
-        if c == "?":
-            end = s.find(">", lt)
-            at = n if end < 0 else end + 1
-            continue
         closing = c == "/"
         m = _NAME.match(s, lt + 1 + closing)
         if not m or not m[0][0].isalpha():
@@ -106,6 +120,8 @@ def parse(source: str | None):
         tag = m[0].lower()
         at = end + 1
         if tag in INLINE:
+            if tag == "a":
+                links = 0 if closing else 1
             continue
         if tag in VOID:
             text.append(" ")
@@ -114,16 +130,13 @@ def parse(source: str | None):
             continue
         if tag in RAW:
             if not closing and not s.endswith("/", lt, end):
-                low = s.lower() if low is None else low
-                stop = low.find(f"</{tag}", at) if len(low) == n else s.find(f"</{tag}", at)
-                if stop < 0:
-                    at = n
-                else:
-                    gt = s.find(">", stop)
-                    at = n if gt < 0 else gt + 1
+                stop = _CLOSE[tag].search(s, at)
+                gt = s.find(">", stop.end()) if stop else -1
+                at = n if gt < 0 else gt + 1
             text.append(" ")
             continue
         flush()
+        links = 0
         if closing:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
@@ -134,54 +147,110 @@ def parse(source: str | None):
             stack.pop()
         attrs = {k.lower(): a or b or d for k, a, b, d in _ATTR.findall(s, m.end(), end)} if end > m.end() else {}
         names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-        parent = nodes[stack[-1][1]]
+        role = attrs.get("role", "").lower()
+        above = nodes[stack[-1][1]]
         key = tag + _DIGITS.sub("N", "".join(f".{x}" for x in sorted(names.split())))
-        kept = parent[2] or tag in ("article", "main") or attrs.get("role") in ("main", "article")
+        main = tag in ("article", "main") or role in ("main", "article")
         words = set(re.split(r"[^a-z]+", names.lower())) if names.strip() else ()
-        dropped = parent[1] or tag in DROP_TAGS or attrs.get("role", "").lower() in DROP_ROLES or "hidden" in attrs or bool(DROP_NAMES.intersection(words)) or (tag == "header" or "header" in words) and not kept
-        nodes.append([f"{parent[0]}/{key}", dropped, kept, stack[-1][1], []])
-        parent[4].append(key)
+        against = HIDDEN if "hidden" in attrs else 0
+        if not main:
+            head = not above.kept
+            against |= BY_TAG if tag in NOISE_TAGS or role in NOISE_ROLES or tag == "header" and head else 0
+            against |= BY_NAME if NOISE_NAMES.intersection(words) or "header" in words and head else 0
+        nodes.append(Node(f"{above.path}/{key}", against, above.kept or main, main, stack[-1][1]))
+        above.children.append(key)
         if not s.endswith("/", lt, end):
             stack.append((tag, len(nodes) - 1))
     flush()
     return blocks, nodes
 
 
-def sightings(source: str | None):
-    """Per node outside articles that holds text: (path, hash of its child sequence, hash of its text)."""
-    blocks, nodes = parse(source)
-    inside: dict[int, list[str]] = {}
-    for t, i in blocks:
-        while i > 0:
-            inside.setdefault(i, []).append(t)
-            i = nodes[i][3]
-    for i, texts in inside.items():
-        path, dropped, kept, _, children = nodes[i]
-        if not (dropped or kept):
-            yield path, hash_("/".join(dict.fromkeys(children))), hash_("\n".join(texts))
-
-
 def hash_(s: str) -> int:
     import xxhash
 
     return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def main_text(source: str | None, low=()) -> str:
-    blocks, nodes = parse(source)
-    allowed = [(t, i) for t, i in blocks if not nodes[i][1]]
-    if len(low):
-        gone, bad = set(low), {}
+def _texts(blocks, nodes) -> dict[int, list[str]]:
+    """The texts in each element that holds any, nodes[0] left out."""
+    inside: dict[int, list[str]] = {}
+    for t, i, _ in blocks:
+        while i > 0:
+            inside.setdefault(i, []).append(t)
+            i = nodes[i].parent
+    return inside
 
-        def removed(i):
-            if i not in bad:
-                path, _, kept, parent, _ = nodes[i]
-                bad[i] = i > 0 and not kept and (removed(parent) or hash_(path) in gone)
-            return bad[i]
 
-        left = [(t, i) for t, i in allowed if not removed(i)]
-        allowed = left or allowed
-    return "\n".join(t for t, _ in allowed)
+def sightings(source: str | None) -> set[tuple[int, int, int, int]]:
+    """(path, kind, value, page) of every element that holds text: kind 0 has the child sequences, kind 1 the texts, page is what counts once."""
+    blocks, nodes = parse(source)
+    inside = _texts(blocks, nodes)
+    page = hash_(source or "")
+    articles: dict[int, int] = {}
+    styles: dict[tuple[str, int], list[str]] = {}
+    out = set()
+    for i in sorted(inside):  # parents come first
+        node = nodes[i]
+        articles[i] = hash_("\n".join(inside[i])) if node.main and not nodes[node.parent].kept else articles.get(node.parent, page)
+        of = articles[i] if node.kept else page
+        styles.setdefault((node.path, of), []).append("/".join(node.children))
+        out.add((hash_(node.path), 1, hash_("\n".join(inside[i])), of))
+    for (path, of), seen in styles.items():
+        out.add((hash_(path), 0, hash_("|".join(seen)), of))
+    return out
+
+
+def main_text(source: str | None, importance=None, repeated=None, low: float = LOW) -> str:
+    """importance: of the host's (hashed) paths, 1 for others; repeated: n, m and importance of texts, by (path, text) hashed."""
+    blocks, nodes = parse(source)
+    importance, repeated = importance or {}, repeated or {}
+    weights: list[float] = []
+    mains: list[int] = [0] * len(nodes)  # article and main elements in each element
+    links, held = [[0, 0] for _ in nodes], [0] * len(nodes)
+    for i in range(len(nodes) - 1, 0, -1):
+        mains[i] += nodes[i].main
+        mains[nodes[i].parent] += mains[i]
+    for t, i, linked in blocks:
+        while i > 0:
+            links[i][linked] += 1
+            held[i] += len(t)
+            i = nodes[i].parent
+    tree = lambda i: importance.get(hash_(nodes[i].path), 1.0)
+    for i, node in enumerate(nodes):
+        if i == 0:
+            weights.append(1.0)
+            continue
+        if node.against & HIDDEN:
+            w = 0.0
+        elif mains[i] and mains[i] == mains[0]:
+            w = 1.0
+        else:
+            w = 1.0 if node.main else tree(i)
+            if node.against:
+                w *= NAMED
+            elif not node.kept and links[i][1] > 2 and not links[i][0]:
+                w *= LINKED
+        weights.append(w)
+
+    def again(node, t):
+        x = repeated.get((hash_(node.path), hash_(t)))
+        return x is not None and (2 * x["n"] > x["m"] >= MIN_ARTICLES if node.kept else x["importance"] < low)
+
+    def left(weights):
+        gone = [False] * len(nodes)
+        for i in range(1, len(nodes)):
+            gone[i] = gone[nodes[i].parent] or weights[i] < low
+        stay = [(t, i) for t, i, _ in blocks if not gone[i]]
+        rest = [t for t, i in stay if not repeated or hash_(nodes[i].path + "\n" + str(hash_(t))) not in repeated]
+        return rest or [t for t, _ in stay]
+
+    out = left(weights)
+    if not out and blocks:
+        total = sum(len(t) for t, _, _ in blocks)
+        for i, node in enumerate(nodes):
+            if node.against == BY_NAME and 2 * held[i] > total and hash_(node.path) in importance and tree(i) >= SURE:
+                return "\n".join(left([1.0 if j == i else w for j, w in enumerate(weights)]))
+    return "\n".join(out)
 
 
 def host_of():
@@ -189,44 +258,56 @@ def host_of():
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path (hashed), pages, importance: the merged tree of each host."""
+    """host, path, kind, value, n, m, importance: per node (kind 0, value null) and per text found on several pages (kind 1); paths and texts are hashed."""
 
     def run(batches):
-        for pdf in batches:
-            seen: dict[tuple, int] = {}
-            for host, source in zip(pdf["host"], pdf["html"]):
-                for path, style, content in sightings(source):
-                    p = hash_(path)
-                    for k in ((host, p, 0, style), (host, p, 1, content)):
-                        seen[k] = seen.get(k, 0) + 1
-            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["host", "path", "kind", "value", "n"])
-
-    counts = pages.select(host_of().alias("host"), "html").mapInPandas(run, "host string, path long, kind int, value long, n long")
-    counts = counts.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
-    kinds = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    entropy = F.when(F.col("pages") > 1, 1 - F.col("s") / (F.col("pages") * F.log("pages"))).otherwise(1.0)
+        for piece in slices(batches):
+            rows = [(host, *x) for host, source in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()) for x in sightings(source)]
+            columns = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "path", "kind", "value", "page"])
+
+    seen = pages.select(host_of().alias("host"), "html").mapInArrow(run, "host string, path long, kind int, value long, page long").distinct()
+    counts = materialise(seen.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n")), "tree")
+    sums = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    entropy = F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0)
     weighted = entropy * F.when(F.col("kind") == 0, PRESENTATION).otherwise(1 - PRESENTATION)
-    return kinds.withColumn("w", weighted).groupBy("host", "path").agg(F.max("pages").alias("pages"), F.sum("w").alias("importance"))
+    shown = F.max(F.when(F.col("kind") == 0, F.col("m")))
+    nodes = sums.withColumn("w", weighted).groupBy("host", "path").agg(shown.alias("m"), F.sum("w").alias("importance"))
+    texts = counts.where(f"kind = 1 AND n >= {MIN_PAGES}").join(nodes.select("host", "path", "m"), ["host", "path"])
+    own = 1 - F.log("n") / F.log(F.greatest("m", "n", F.lit(2)))
+    texts = texts.select("host", "path", "kind", "value", "n", "m", own.alias("importance"))
+    none = F.lit(None).cast("long")
+    return nodes.select("host", "path", F.lit(0).alias("kind"), none.alias("value"), none.alias("n"), "m", "importance").unionByName(texts)
 
 
 def extract_main(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars."""
-    noise = style_tree(pages).where((F.col("pages") >= min_pages) & (F.col("importance") < low)).select("host", "path")
-    noise = materialise(noise, "noise")
-    per_host = noise.groupBy("host").agg(F.collect_set("path").alias("_low"))  # paths of one site's templates
-    if noise.count() <= BROADCAST_ROWS:
+    tree = style_tree(pages).where(F.col("m") >= min_pages)
+    tree = materialise(tree.where(f"kind = 0 AND importance < 1 OR kind = 1 AND (importance < {low} OR 2 * n > m)"), "noise")
+    node, text = F.struct("path", F.col("importance").cast("float").alias("importance")), F.struct("path", "value", "n", "m", "importance")
+    per_host = tree.groupBy("host").agg(F.collect_list(F.when(F.col("kind") == 0, node)).alias("_nodes"), F.collect_list(F.when(F.col("kind") == 1, text)).alias("_texts"))  # of one site's templates
+    if tree.count() <= BROADCAST_ROWS:
         per_host = F.broadcast(per_host)
-    df = pages.select("page_id", "url", "html", host_of().alias("host")).join(per_host, "host", "left").select("page_id", "url", "html", "_low")
+    df = pages.select("page_id", "url", "html", host_of().alias("_host")).join(per_host.withColumnRenamed("host", "_host"), "_host", "left")
+    df = df.select("page_id", "url", F.struct("html", "_host", "_nodes", "_texts").alias("_page"))
 
-    def run(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                part = pdf.iloc[at : at + 200]
-                texts = [main_text(h, () if x is None else x) for h, x in zip(part["html"], part["_low"])]
-                out = part[["page_id", "url"]].assign(text=texts, n_chars=[len(t) for t in texts])
-                yield out
-
-    return df.mapInPandas(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    def compute():
+        hosts: dict[str, tuple] = {}
+
+        def known(row):
+            if row["_host"] not in hosts:
+                if len(hosts) > 200:
+                    hosts.clear()
+                hosts[row["_host"]] = ({x["path"]: x["importance"] for x in row["_nodes"] or ()}, {(x["path"], x["value"]): x for x in row["_texts"] or ()})
+            return hosts[row["_host"]]
+
+        def run(rows):
+            texts = [main_text(r["html"], *known(r), low) for r in rows]
+            return texts, [len(t) for t in texts]
+
+        return run
+
+    return with_columns(df, "_page", "text string, n_chars long", compute)
 
 
 def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
