@@ -20,27 +20,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bucket_of(col, buckets: int):
-    """A bucket 0..buckets-1 from md5, which other SQL engines have as well; buckets is at most 65536."""
-    return F.pmod(F.conv(F.substring(F.md5(F.coalesce(col.cast("string"), F.lit(""))), 1, 4), 16, 10).cast("int"), F.lit(buckets))
+PLACES, BUCKET_ROWS = 65_536, 200_000
+
+
+def place_of(col):
+    """A place 0..65535 from md5, which other SQL engines have as well."""
+    return F.conv(F.substring(F.md5(F.coalesce(col.cast("string"), F.lit(""))), 1, 4), 16, 10).cast("int")
+
+
+def buckets_for(rows: int) -> int:
+    """How many tasks share the rows of one key, if it holds them all."""
+    return min(PLACES, max(16, -(-rows // BUCKET_ROWS)))
 
 
 def ranked(df: DataFrame, keys: list[str], salt: str, order: list, buckets: int, rank: str = "_rank", attach: DataFrame | None = None) -> DataFrame:
-    """row_number() within keys, from 1, ordered by bucket(salt) and then by order, without one task per key.
+    """row_number() within keys, from 1, ordered by place_of(salt) and then by order, without one task per key.
 
-    Counts per (keys, bucket) are pre-aggregated before their shuffle; their running sum is the offset of
-    each bucket, so a key with a third of all rows is ranked by `buckets` tasks. Null keys must be coded before.
-    `attach` (one row per keys) joins the offsets, not the rows; and as the merge join deals rows out just as the
-    window needs them, wide rows are shuffled once.
+    Buckets are ranges of places, so their number does not change the ranks. Counts per (keys, bucket) are pre-aggregated
+    before their shuffle; their running sum is the offset of each bucket, so a key with a third of all rows is ranked
+    by `buckets` tasks. Null keys must be coded before. `attach` (one row per keys) joins the offsets, not the rows; and as
+    the merge join deals rows out just as the window needs them, wide rows are shuffled once.
     """
-    df = df.withColumn("_bucket", bucket_of(F.col(salt), buckets))
+    df = df.withColumn("_place", place_of(F.col(salt))).withColumn("_bucket", F.floor(F.col("_place") * F.lit(buckets).cast("long") / PLACES).cast("int"))
     counts = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     if attach is not None:
         offsets = offsets.join(attach, keys)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    return df.join(offsets.hint("merge"), [*keys, "_bucket"]).withColumn(rank, F.col("_offset") + F.row_number().over(inside)).drop("_bucket", "_offset")
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_place", *order)
+    return df.join(offsets.hint("merge"), [*keys, "_bucket"]).withColumn(rank, F.col("_offset") + F.row_number().over(inside)).drop("_bucket", "_place", "_offset")
 
 
 def crc_mod5(col="doc_id"):

@@ -2,7 +2,7 @@
 
 Each source gets a target number of words: its weight's share of all words, at most `max_ratio` times what it
 has, the excess reshared by weight (water filling). Every document of a source then expects target / size
-copies. Documents stand in a fixed order (size class, md5 bucket, doc_id); the prefix sums of their expected
+copies. Documents stand in a fixed order (size class, md5 place, doc_id); the prefix sums of their expected
 copies, shifted by one offset per source drawn from the seed, cross an integer as often as the document is emitted.
 
 Defined results: null or blank text has size 0 and counts as a document; a null source is a source of its own,
@@ -15,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kgraph.llm.common import WORD, materialise, ranked, table
+from kgraph.llm.common import WORD, buckets_for, materialise, ranked, table
 
-WEIGHTS, MAX_RATIO, SEED, BUCKETS = (1, 2, 3), 3, 20, 64
+WEIGHTS, MAX_RATIO, SEED = (1, 2, 3), 3, 20
 
 
 def size_of(text: Column) -> Column:
@@ -42,27 +42,27 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_ratio=MAX_RATIO, seed=
     return per.select("_key", "source_size", "target", rate.alias("_rate"), shift.alias("_shift"))
 
 
-def mix_plan(docs: DataFrame, size: str, weights=WEIGHTS, max_ratio=MAX_RATIO, seed=SEED, buckets=BUCKETS) -> DataFrame:
+def mix_plan(docs: DataFrame, size: str, weights=WEIGHTS, max_ratio=MAX_RATIO, seed=SEED) -> DataFrame:
     """docs with source_size, target, copies and taken; `size` names the column that holds each document's words."""
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
     sized = docs.withColumn("_key", key).withColumn("_size", F.col(size)).withColumn("_class", F.length(F.bin("_size")))
     targets = source_targets(sized, weights, max_ratio, seed)
-    # the rank runs through (class, bucket, doc_id): the class is part of the key, and the sums of classes are added
+    # the rank runs through (class, place, doc_id): the class is part of the key, and the sums of classes are added
     by_class = sized.groupBy("_key", "_class").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_key").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
     by_class = by_class.select("_key", "_class", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_below"))
     small = by_class.join(targets, "_key")
-    out = ranked(sized, ["_key", "_class"], "doc_id", ["doc_id", "_size"], buckets, attach=small)
+    out = ranked(sized, ["_key", "_class"], "doc_id", ["doc_id", "_size"], buckets_for(docs.count()), attach=small)
     k = (F.col("_below") + F.col("_rank")).cast("double")
     crossed = F.floor(k * F.col("_rate") + F.col("_shift")) - F.floor((k - 1) * F.col("_rate") + F.col("_shift"))
     out = out.withColumn("copies", crossed.cast("long")).withColumn("taken", F.col("copies") * F.col("_size"))
     return out.drop("_key", "_size", "_class", "_below", "_rank", "_rate", "_shift")
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, max_ratio=MAX_RATIO, seed=SEED, buckets=BUCKETS) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=WEIGHTS, max_ratio=MAX_RATIO, seed=SEED) -> DataFrame:
     """The mix itself: every column of docs, each document as often as it is taken."""
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "doc_id", "source", size_of(F.col("text")).alias("_words"))
-    plan = mix_plan(rows, "_words", weights, max_ratio, seed, buckets).where("copies > 0")
+    plan = mix_plan(rows, "_words", weights, max_ratio, seed).where("copies > 0")
     return plan.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
@@ -77,7 +77,7 @@ WITH sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 b AS (
-  SELECT *, length(bin(size)) AS cls, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 4))::INT) % {BUCKETS} AS bkt FROM sized),
+  SELECT *, length(bin(size)) AS cls, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 4))::INT AS bkt FROM sized),
 per AS (
   SELECT k, sum(size)::BIGINT AS source_size FROM sized GROUP BY k),
 w AS (

@@ -14,24 +14,28 @@ table gives no pieces; texts of any length are cut.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
 from array import array
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kgraph.llm.common import materialise, ranked, table
+from kgraph.llm.common import buckets_for, materialise, ranked, slices, table
 
-SEQ_LEN, GRID, END_ID, BUCKETS = 2048, 16, 1, 16
-CACHED_WORDS, LONGEST_CACHED = 400_000, 40
+SEQ_LEN, GRID, END_ID = 2048, 16, 1
+CACHED_WORDS, LONGEST_CACHED = 300_000, 40
 #: marks that may follow a letter without changing how it is read
 _MARKS = ",.!?;:#*$%&"
 #: capitals whose small form depends on the place, or is longer
 _SPECIAL_CASE = re.compile("[\u03a3\u0130]|<[|]")
+#: letters below this are alphabets whose words the tests hold against the tokenizer, letter by letter
+_PROVEN = "\u0530"
 
 
 def tokenizer_path() -> str:
@@ -43,10 +47,10 @@ def tokenizer_path() -> str:
 class WordIds:
     """Ids of whole texts as little-endian uint32 bytes.
 
-    This vocabulary lowers case, drops white space and never merges across it, nor across the border between a letter
-    and a mark; so a text's ids are those of its words, and a word's are those of its letters and of the marks after
-    them. Both are looked up in a bounded cache. Words of letters only go straight to the merge model, in its
-    byte alphabet; all others are encoded as they stand.
+    A vocabulary that lowers case, drops white space and never merges across it, nor across the border between a letter
+    and a mark, gives a text the ids of its words. Words are looked up in a bounded cache. Of a word whose letters are
+    small, composed and proven, the letters go straight to the merge model, in its byte alphabet, and the marks after
+    them are looked up apart; all other words are encoded as they stand, and with other vocabularies whole texts are.
     """
 
     def __init__(self, path: str):
@@ -56,17 +60,23 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tok, self.cache, self.recent = Tokenizer.from_file(path), {}, []
+        made = json.loads(self.tok.to_str())
+        steps = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and made["model"].get("end_of_word_suffix") == "</w>"
         self.merge = self.tok.model.tokenize
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the public byte alphabet: these bytes stand for themselves
         rest = [b for b in range(256) if b not in set(shown)]
         self.byte = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
+    def _plain(self, w: str) -> bool:
+        return w.isalpha() and (w.isascii() or max(w) < _PROVEN and unicodedata.is_normalized("NFC", w)) and w.lower() == w
+
     def _word(self, w: str) -> bytes:
-        if w.isalpha() and w.lower() == w and unicodedata.is_normalized("NFC", w):
+        if self._plain(w):
             units = w if w.isascii() else "".join(map(self.byte.__getitem__, w.encode()))
             return array("I", [t.id for t in self.merge(units)]).tobytes()
         letters = w.rstrip(_MARKS)
-        if letters and letters is not w and letters[-1].isalpha():
+        if letters and letters is not w and self._plain(letters):
             return self._known(letters) + self._known(w[len(letters) :])
         return array("I", self.tok.encode(w, add_special_tokens=False).ids).tobytes()
 
@@ -80,6 +90,8 @@ class WordIds:
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
+        if not self.by_word:
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if not _SPECIAL_CASE.search(text):
             text = text.lower()
         for blank in "\t\n\v\f\r":
@@ -113,23 +125,23 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 def pieces(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, grid: int = GRID, with_ids: bool = False) -> DataFrame:
     """Tokenise whole texts and cut them; one row per piece, with its ids if asked for."""
     end = np.array([END_ID], "<u4").tobytes()
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
 
     def run(batches):
         ids_of = WordIds(path)
-        for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                rows = []
-                for doc_id, text in zip(pdf["doc_id"][lo : lo + 500], pdf["text"][lo : lo + 500]):
-                    ids = ids_of(text if isinstance(text, str) else None) + end
-                    n = len(ids) // 4
-                    for start, length in cuts(n, seq_len, grid):
-                        part = ids[4 * start : 4 * (start + length)]
-                        rows.append((doc_id, start, length, zlib.crc32(part), n, *([part] if with_ids else [])))
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECE + (", ids binary" if with_ids else ""))
+        for piece in slices(batches):
+            at, rows = [], []
+            for i, text in enumerate(piece.column(1).to_pylist()):
+                ids = ids_of(text) + end
+                n = len(ids) // 4
+                for start, length in cuts(n, seq_len, grid):
+                    part = ids[4 * start : 4 * (start + length)]
+                    at.append(i)
+                    rows.append((start, length, zlib.crc32(part), n, *([part] if with_ids else [])))
+            columns = [pa.array(c, pa.binary() if k == 4 else pa.int64()) for k, c in enumerate(zip(*rows))]
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(at, pa.int64())), *columns], names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE + (", ids binary" if with_ids else ""))
 
 
 def padded(total: int, seq_len: int = SEQ_LEN) -> int:
@@ -233,26 +245,34 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in rows.items()}
 
 
-def pack(cut: DataFrame, seq_len: int = SEQ_LEN, buckets: int = BUCKETS) -> DataFrame:
-    """cut (columns of PIECE, materialised) with sequence_id and offset."""
+def pack(cut: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
+    """cut (columns of PIECE, materialised) with sequence_id and offset.
+
+    Full pieces are sequences of their own and need no rank: they are numbered after the patterns' sequences, by task.
+    """
     hist = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # seq_len rows at most
-    place = slots(solve_patterns(hist, seq_len))
-    by_rank = ranked(cut, ["length"], "doc_id", ["doc_id", "start", "doc_tokens", "ids_crc32"], buckets)
+    hist.pop(seq_len, None)
+    patterns = solve_patterns(hist, seq_len)
+    place, sequences = slots(patterns), sum(n for _, n in patterns)
+    full = cut.where(F.col("length") == seq_len).withColumns({"sequence_id": F.monotonically_increasing_id() + F.lit(sequences), "offset": F.lit(0).cast("long")})
+    by_rank = ranked(cut.where(F.col("length") != seq_len), ["length"], "doc_id", ["doc_id", "start", "doc_tokens", "ids_crc32"], buckets_for(max(hist.values(), default=0)))
+    kept = len(cut.columns)
 
     def run(batches):
-        for pdf in batches:
-            length, rank = pdf["length"].to_numpy(), pdf.pop("_rank").to_numpy() - 1
-            seq, off = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
+        for batch in batches:
+            length, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (cut_length, kept))
+            rank = rank - 1
+            seq, off = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for k in np.unique(length):
                 at, s = np.nonzero(length == k)[0], place[int(k)]
                 row = s[np.searchsorted(s[:, 0], rank[at], side="right") - 1]
                 t = rank[at] - row[:, 0]
                 seq[at], off[at] = row[:, 2] + t // row[:, 1], row[:, 3] + t % row[:, 1] * k
-            yield pdf.assign(sequence_id=seq, offset=off)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(kept)), pa.array(seq), pa.array(off)], names=names)
 
-    kept = [f for f in cut.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sequence_id long, offset long"
-    return by_rank.select(*cut.columns, "_rank").mapInPandas(run, schema)
+    cut_length, names = cut.columns.index("length"), [*cut.columns, "sequence_id", "offset"]
+    schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return by_rank.select(*cut.columns, "_rank").mapInArrow(run, schema).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN, grid: int = GRID, with_ids: bool = False) -> DataFrame:
