@@ -241,7 +241,7 @@ def main_text(source: str | None, importance=None, repeated=None, low: float = L
         for i in range(1, len(nodes)):
             gone[i] = gone[nodes[i].parent] or weights[i] < low
         stay = [(t, i) for t, i, _ in blocks if not gone[i]]
-        rest = [t for t, i in stay if not repeated or hash_(nodes[i].path + "\n" + str(hash_(t))) not in repeated]
+        rest = [t for t, i in stay if not (repeated and again(nodes[i], t))]
         return rest or [t for t, _ in stay]
 
     out = left(weights)

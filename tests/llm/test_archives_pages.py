@@ -81,6 +81,42 @@ def test_a_record_over_several_members(monkeypatch):
     assert read(b"".join(ms) + b"".join(warc.members(record(2, b"q")))) == ([1, 2], [])
 
 
+def test_salvage_inside_a_member():
+    """Records before and after a damaged one in the same member are kept, also where the member's end is damaged."""
+    parts = [record(i, b"x" * 150 + bytes([65 + i])) for i in range(5)]
+    whole = warc._gzip(b"".join([parts[0], parts[1], parts[2].replace(b"xxx", b"xyx", 1), parts[3], parts[4]]))
+    assert read(whole) == ([0, 1, 3, 4], [(0, len(whole), "digest differs")])
+    late = bytearray(warc._gzip(b"".join(parts)))
+    late[-6] ^= 1
+    found, gaps = read(bytes(late))
+    assert found == [0, 1, 2, 3, 4] and [g[:2] for g in gaps] == [(0, len(late))]
+    long_url = warc.record_bytes(7, "http://x/" + "y" * 3_000_000, b"body", hashlib.sha256(b"body").hexdigest(), None)
+    assert read(b"".join(warc.members(long_url))) == ([7], [])
+
+
+def test_salvage_is_linear():
+    import os
+    import time
+
+    body = os.urandom(12_000).hex().encode()
+    one = warc.members(record(1, body))[0]
+    took = []
+    for n in (400, 1600):
+        start = time.process_time()
+        assert sum(1 for _ in warc.salvage(one * n)) == n
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0]
+
+
+def test_large_ids_survive_the_archive(spark, tmp_path):
+    big = (1 << 53) + 1
+    same = "<p>" + "text " * 100
+    p = spark.createDataFrame([(big, "u", same), (big + 2, "v", same), (None, "w", "x")], "page_id long, url string, html string")
+    warc.write_archive(p, str(tmp_path / "w"))
+    got = {(r["page_id"], r["refers_to"]) for r in warc.read_archive(spark, str(tmp_path / "w")).collect()}
+    assert got == {(big, None), (big + 2, big), (None, None)}
+
+
 def brute_base(text):
     low = re.sub(r"[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
@@ -220,3 +256,52 @@ def test_branches_that_repeat_on_a_site_go(spark):
     out = sitetree.extract_main(spark.createDataFrame(edge, "page_id long, url string, html string")).collect()
     assert len(out) == 4 and max(r["n_chars"] for r in out) == 99_999
     assert sitetree.extract_main(df.limit(0)).count() == 0
+
+
+def site(i, rng):
+    """A page whose classes say nothing: a menu of links, a notice, a story, an article class that holds words of the lists."""
+    story = " ".join(rng.choice("oak elm ash fir yew bay fig nut".split()) + str(rng.randrange(1000)) for _ in range(30))
+    menu = "".join(f"<li><a href=/{rng.randrange(99)}>Go {rng.randrange(9)}</a></li>" for _ in range(5))
+    html = f"<body><div class=qa><ul>{menu}</ul></div><div class=qb>Please note our rules. They are the same on each page.</div><div class=qc><article class='promo side share'><h1>Head {i}</h1><p>{story}</p><p>Write to us any time you like.</p></article></div><div class=qd>Made by hand</div></body>"
+    return html, f"Head {i}\n{story}"
+
+
+def test_the_tree_decides_without_names(spark):
+    rng = random.Random(3)
+    made = [site(i, rng) for i in range(30)]
+    df = spark.createDataFrame([(i, "http://site/x", h) for i, (h, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in sitetree.extract_main(df).collect()}
+    assert got == {i: t for i, (_, t) in enumerate(made)}
+    alone = sitetree.main_text(made[0][0])
+    assert "Made by hand" in alone and "Go " in alone and "Write to us" in alone  # what markup alone would keep
+
+
+def test_importance_is_brute_forces(spark):
+    import math
+    from collections import Counter, defaultdict
+
+    rng = random.Random(8)
+    pages_ = [site(i // 2, rng)[0] for i in range(12)]
+    seen = {x for h in pages_ for x in sitetree.sightings(h)}
+    values = defaultdict(Counter)
+    for path, kind, value, page in seen:
+        values[path, kind][value] += 1
+    entropy = lambda c: 1.0 if sum(c.values()) < 2 else -sum(n / sum(c.values()) * math.log(n / sum(c.values())) for n in c.values()) / math.log(sum(c.values()))
+    want = {p: sitetree.PRESENTATION * entropy(values[p, 0]) + (1 - sitetree.PRESENTATION) * entropy(values[p, 1]) for p, kind in values if kind == 1}
+    df = spark.createDataFrame([(i, "http://s/", h) for i, h in enumerate(pages_)], "page_id long, url string, html string")
+    got = {r["path"]: r["importance"] for r in sitetree.style_tree(df).where("kind = 0").collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_markup_that_hides_or_holds_text():
+    m = sitetree.main_text
+    assert m("<article>\u0130 <SCRIPT>x</SCRIPT> tail</article>") == "\u0130 tail"
+    assert m("<p>a</p><p hidden>b</p><p hidden=until-found>c</p><p data-hidden=1>d</p>") == "a\nd"
+    assert m("<article><p>Sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> and <svg><title>t</title><text>label</text></svg></p></article>") == "Sum x+1 and label"
+    assert m("<div class=sidebar-layout><main><p>Text</p></main><nav>Menu</nav></div>") == "Text"
+
+
+def test_large_page_ids_stay_exact(spark):
+    big = (1 << 53) + 1
+    df = spark.createDataFrame([(big, "http://h/", "<p>a"), (None, None, None)], "page_id long, url string, html string")
+    assert {(r["page_id"], r["text"]) for r in sitetree.extract_main(df).collect()} == {(big, "a"), (None, "")}

@@ -97,3 +97,45 @@ def test_cuts():
     assert packing.cuts(0) == [] and packing.cuts(1) == [(0, 1)] and packing.cuts(4096) == [(0, 2048), (2048, 2048)]
     assert packing.cuts(2048 + 37) == [(0, 2048), (2048, 32), (2080, 5)]
     assert packing.solve_patterns({}) == []
+
+
+def test_words_of_proven_letters_are_the_tokenizers():
+    """Every letter of the proven alphabets, and some beyond, before, after and between others, with marks after them."""
+    from tokenizers import Tokenizer
+
+    w, t = packing.WordIds(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    assert w.by_word
+    chars = [chr(c) for c in (*range(33, 0x560), *range(0x900, 0xA80, 3), 0x958, 0x95F, 0xA33, 0xA5E, 0xB5C, 0x130, 0x3A3, 0x1E9E, 0xFB01)]
+    for c in chars:
+        for text in (f"{c},", f"a{c};", f"{c}a!.", f"{c}{c}"):
+            assert w(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_other_vocabularies_are_used_as_they_are():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    w, t = packing.WordIds(path), Tokenizer.from_file(path)
+    assert not w.by_word
+    for text in ("Two  Words\n here", "", "\u00c9t\u00e9,"):
+        assert w(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_ranks_do_not_depend_on_buckets(spark):
+    from kgraph.llm.common import ranked
+
+    df = spark.range(500).selectExpr("id", "id % 3 AS k")
+    one, many = ({(r["id"], r["_rank"]) for r in ranked(df, ["k"], "id", ["id"], n).collect()} for n in (1, 300))
+    assert one == many and {n for _, n in one} == set(range(1, 168))
+
+
+def test_large_ids_and_full_sequences(spark):
+    big = (1 << 53) + 1
+    docs = spark.createDataFrame([(big, "word " * 5000), (None, None), (big, "word " * 5000)], "doc_id long, text string")
+    got = packing.pack_documents(docs).collect()
+    assert {r["doc_id"] for r in got} == {big, None}
+    full = [r["sequence_id"] for r in got if r["length"] == packing.SEQ_LEN]
+    assert len(full) == len(set(full)) == 4 and not set(full) & {r["sequence_id"] for r in got if r["length"] < packing.SEQ_LEN}
+    mixed = mixing.mix_sources(spark.createDataFrame([(big, "a b", None), (None, "c", "s")], "doc_id long, text string, source string"))
+    assert {r["doc_id"] for r in mixed.collect()} <= {big, None}

@@ -1,3 +1,4 @@
+import pickle
 import zlib
 
 import numpy as np
@@ -30,7 +31,7 @@ def held_out(spark, scores, y):
 
 def test_toxicity_held_out(spark):
     docs, labels, y = labelled(spark, "toxic")
-    model = toxicity.fit(toxicity.labelled_sample(docs, labels, "toxic", toxicity.PER_CLASS, toxicity.LONGEST))
+    model = toxicity.trained(docs, labels)
     p = held_out(spark, toxicity.score_toxicity(docs.join(y, "doc_id", "left_semi").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0), model), y)
     assert auc(p["score"].to_numpy(), p["y"].to_numpy()) > 0.9 and (p["predicted"] == p["y"]).mean() > 0.94
     assert p["score"].between(0, 1).all()
@@ -38,7 +39,7 @@ def test_toxicity_held_out(spark):
 
 def test_quality_held_out(spark):
     docs, labels, y = labelled(spark, "quality")
-    model = quality.fit(quality.labelled_sample(docs, labels, "quality", 400, 60_000))
+    model = quality.trained(docs, labels)
     p = held_out(spark, quality.score_quality(docs.join(y, "doc_id", "left_semi").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0), model), y)
     assert auc(p["score"].to_numpy(), p["y"].to_numpy()) > 0.97
     assert p[p["y"] == 1]["predicted"].mean() > 0.97 and p[p["y"] == 0]["predicted"].mean() < 0.2
@@ -47,7 +48,7 @@ def test_quality_held_out(spark):
 def test_scores_of_edge_rows(spark):
     sample = [("you stupid idiot go away now", 1), ("what a stupid stupid idiot", 1), ("idiot idiot stupid again", 1), ("a calm day at the lake", 0), ("the lake is calm and wide", 0), ("we walked along the shore", 0)] * 4
     for module, score in ((toxicity, toxicity.score_toxicity), (quality, quality.score_quality)):
-        model = module.fit(sample)
+        model = pickle.dumps(module.fit(sample))
         got = score(documents(spark), model).collect()
         assert len(got) == len(texts()) + 2 and all(0 <= r["score"] <= 1 for r in got)
         assert score(empty(spark), model).count() == 0
@@ -99,9 +100,74 @@ def test_line_rules_keep_good_documents(spark):
     docs, labels, y = labelled(spark, "quality")
     model = linecrf.trained(docs, labels)
     p = linecrf.line_rules(docs, model).join(y, "doc_id").toPandas()
+    p = p[p["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 5) == 0]  # rows that training has not seen
     good, bad = p[(p["y"] == 1) & ~p["base_failed"]], p[p["y"] == 0]
     assert good["kept"].mean() > 0.98 and bad["kept"].mean() < 0.1
     edge = documents(spark)
     kept = linecrf.filter_lines(edge, model)
     assert kept.columns == edge.columns and kept.count() <= edge.count()
     assert linecrf.line_rules(empty(spark), model).count() == 0
+
+
+def test_lines_of_any_length_are_split_at_the_same_blanks():
+    """A no-break space is part of a word, in a short line and in a long one."""
+    for n in (3, 300):
+        line = " ".join(["two\u00a0parts"] * n)
+        x, chars = linecrf.featurise(line)
+        assert chars.tolist() == [9 * n] and x.tolist() == [linecrf.line_features(line, ["two\u00a0parts"] * n, False)]
+
+
+def test_chains_show_steps_between_states():
+    sample = [("A calm line.\nAnother one.", 1), ("buy | buy | buy\n#### ||||", 0)]
+    made = linecrf.chains(sample)
+    assert any((y[1:] != y[:-1]).any() for _, y in made) and linecrf.chains(sample[:1]) == []
+    trans = linecrf.fit(sample * 4)["trans"]
+    assert trans[0, 0] > trans[0, 1] and trans[1, 1] > trans[1, 0]
+
+
+def brute_pool(model, text):
+    """Mean context vectors, word by word."""
+    v, words = model["vectors"], (text or "").split()
+    out = np.zeros((3, quality.DIM))
+    for i, w in enumerate(words):
+        for k, u in enumerate(quality.units(w)):
+            if u in v.row:
+                out[k] += v.matrix[v.row[u]]
+        if i and w == words[i - 1]:
+            out[2] += v.matrix[-1]
+    return out.ravel() / max(1, len(words))
+
+
+def test_pooled_vectors_and_scores_are_brute_forces():
+    sample = [("the lake is calm and the shore is wide today", 1), ("we walked along the calm shore of the lake", 1), ("BUY BUY now!!! $$$ cheap cheap pills", 0), ("click here!!! cheap cheap offer $$$ now", 0)] * 4
+    m = quality.fit(sample)
+    for t in [None, "", "one", "the lake BUY BUY now!!!", "calm calm calm unseen-word the", *(t for t, _ in sample)]:
+        x = brute_pool(m, t)
+        assert np.allclose(m["vectors"].pool(t), x, atol=1e-5)
+        z = np.clip((x - m["mean"]) / m["scale"], -8, 8)
+        w1, b1, w2, b2 = m["params"]
+        logit = (np.tanh(z @ w1 + b1) @ w2 + b2[0]) / m["temperature"]
+        assert abs(quality.scores(m, [t])[0] - 1 / (1 + np.exp(-logit))) < 1e-4
+
+
+def test_window_savings_are_brute_forces():
+    import zstandard as z
+
+    meter = toxicity.Meter(b"the calm lake and the wide shore " * 5, b"stupid idiot " * 5, (1.0, 0.5, 0.004, 0.0001))
+    size = lambda content, w: len(z.ZstdCompressor(level=toxicity.LEVEL, dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False).compress(w))
+    plain, toxic = b"the calm lake and the wide shore " * 5, b"stupid idiot " * 5
+    for t in ("the calm lake", "you stupid idiot by the calm lake, you stupid idiot", "x " * 40):
+        assert meter.saved(t).tolist() == [size(plain, w) - size(toxic + plain, w) for w in toxicity.windows(t)]
+    assert meter.saved("a stupid idiot").max() > meter.saved("a quiet morning").max()
+
+
+def test_ids_beyond_doubles_stay_exact(spark):
+    big = (1 << 53) + 1
+    rows = [(big, "some words to look at here and now again and again ok", 1), (None, "other words", None), (big + 2, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra long")
+    sample = [("bad bad", 0), ("good text here", 1)] * 6
+    q, t = pickle.dumps(quality.fit(sample)), pickle.dumps(toxicity.fit(sample))
+    for out in (quality.score_quality(docs, q), toxicity.score_toxicity(docs, t), linecrf.line_rules(docs, None)):
+        assert {r["doc_id"] for r in out.collect()} == {big, None, big + 2}
+    for out in (quality.filter_quality(docs, None), linecrf.filter_lines(docs, None)):
+        assert out.schema == docs.schema and (big, 1) in {(r["doc_id"], r["extra"]) for r in out.collect()}
