@@ -83,14 +83,13 @@ def telugu(text: Column) -> Column:
 
 
 def urdu(text: Column) -> Column:
-    """A doubling mark repeats the sign before it; runs of up to four marks are read, marks without a sign are dropped."""
+    """Each doubling mark repeats the sign before it; marks without a sign are dropped."""
     mapped = "".join(URDU)
     unread = rf"[[\x{{0600}}-\x{{06FF}}\x{{FB50}}-\x{{FDFF}}\x{{FE70}}-\x{{FEFF}}]&&[^{mapped}{SHADDA}]]"
-    out = F.regexp_replace(text, unread, "")
-    for _ in range(4):
-        out = F.regexp_replace(out, f"(?s)([^{SHADDA}]){SHADDA}", "$1$1")
+    runs = F.regexp_extract_all(F.regexp_replace(text, unread, ""), F.lit(f"(?s)[^{SHADDA}]{SHADDA}*"), F.lit(0))
+    out = F.array_join(F.transform(runs, lambda r: F.repeat(F.left(r, F.lit(1)), F.length(r))), "")
     table = _map(URDU)
-    return _walk(F.regexp_replace(out, SHADDA, ""), lambda c, n, m: F.coalesce(F.element_at(table, c), c))
+    return _walk(out, lambda c, n, m: F.coalesce(F.element_at(table, c), c))
 
 
 def _where(text: Column, pattern: str, step) -> Column:

@@ -8,11 +8,16 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgraph.functions.scalars import label_seconds, title_case
+from kgraph.functions.scalars import label_seconds, round_half, title_case
 
 #: fixed value: the language every exported document states
 LANGUAGE = "code-mixed (Hindi-English)"
-PALETTE = ["#4e79a7", "#f28e2b", "#e15759", "#76b7b2", "#59a14f", "#edc948", "#b07aa1", "#ff9da7", "#9c755f", "#bab0ac"]
+#: fixed values: colours of up to ten communities
+PALETTE = ["#4dd0e1", "#ff7043", "#66bb6a", "#ab47bc", "#ffa726", "#42a5f5", "#ef5350", "#26c6da", "#8d6e63", "#78909c"]
+#: fixed values: red, green and blue of the least, the middling and the most important node
+GRADIENT = [(77, 208, 225), (33, 150, 243), (92, 107, 192)]
+#: fixed values: digits of exported figures
+DIGITS = {"pagerank": 6, "betweenness": 4, "in_degree_centrality": 4, "out_degree_centrality": 4, "hub_score": 4, "authority_score": 4, "importance_score": 4, "confidence": 4}
 
 
 def timeline(concepts: DataFrame) -> DataFrame:
@@ -72,9 +77,9 @@ def node_style(metrics: DataFrame) -> DataFrame:
     per = Window.partitionBy("video_id")
     rel = F.col("pagerank") / F.greatest(F.max("pagerank").over(per), F.lit(1e-12))
     many = F.max("community").over(per) > 0
-    low = F.least(rel * 2, F.lit(1.0))
-    high = F.greatest(rel * 2 - 1, F.lit(0.0))
-    gradient = _hex(76 + 179 * low - 11 * high, 175 - 23 * low - 85 * high, 80 - 80 * low + 54 * high)
+    least, middle, most = GRADIENT
+    mixed = lambda a, b, t: a + (b - a) * t
+    gradient = _hex(*[F.when(rel < 0.5, mixed(least[k], middle[k], rel * 2)).otherwise(mixed(middle[k], most[k], (rel - 0.5) * 2)) for k in range(3)])
     palette = F.array(*map(F.lit, PALETTE))
     return metrics.select("video_id", "name", (20 + 30 * rel).alias("size"), F.when(many, F.element_at(palette, (F.col("community") % 10 + 1).cast("int"))).otherwise(gradient).alias("colour"))
 
@@ -113,25 +118,43 @@ def segment_lines(segments: DataFrame) -> DataFrame:
     return segments.select("video_id", "seg_id", F.concat(F.lit("["), "timestamp_label", F.lit("] "), "text").alias("line"))
 
 
-def documents(concepts: DataFrame, edges: DataFrame, metrics: DataFrame, path: DataFrame) -> DataFrame:
-    """video_id, document: one JSON knowledge graph per video, learning path and density included."""
+def rounded(df: DataFrame) -> DataFrame:
+    """Figures at the digits that documents give."""
+    return df.withColumns({c: round_half(F.col(c).cast("double"), n) for c, n in DIGITS.items() if c in df.columns})
+
+
+def documents(concepts: DataFrame, edges: DataFrame, metrics: DataFrame, path: DataFrame, meta: DataFrame | None = None, processed_at: Column | None = None) -> DataFrame:
+    """video_id, document: one JSON knowledge graph per video, learning path and density included.
+
+    Concepts are numbered by name and stand by importance. meta: video_id, source_file, language_detected.
+    processed_at: a time of processing, now unless given. difficulty and teaching_style come from concepts that have them.
+    """
+    concepts, edges, metrics = rounded(concepts), rounded(edges), rounded(metrics)
+    given = lambda c, otherwise: F.coalesce(F.col(c), otherwise) if c in concepts.columns else otherwise
+    number = F.row_number().over(Window.partitionBy("video_id").orderBy("name"))
     order = F.struct((-F.col("importance_score")).alias("o"), "name")
     item = F.struct(
-        F.col("name").alias("normalized_name"), F.col("title").alias("name"), F.coalesce("importance_score", F.lit(0.0)).alias("importance_score"), F.coalesce("frequency", F.lit(0)).alias("frequency"),
+        "id", F.col("title").alias("normalized_name"), "name", F.coalesce("importance_score", F.lit(0.0)).alias("importance_score"), F.coalesce("frequency", F.lit(0)).alias("frequency"),
         F.coalesce("first_mention", F.lit("")).alias("first_mention"), F.coalesce("timestamps", F.array().cast("array<string>")).alias("timestamps"),
+        given("difficulty", F.lit("unknown")).alias("difficulty"), given("teaching_style", F.array().cast("array<string>")).alias("teaching_style"),
         "pagerank", "betweenness", "in_degree_centrality", "out_degree_centrality", "hub_score", "authority_score", "depth", "community",
     )
     sorted_items = lambda o, x: F.transform(F.array_sort(F.collect_list(F.struct(o.alias("o"), x.alias("x")))), lambda y: y["x"])
-    c = concepts.join(metrics, ["video_id", "name"]).groupBy("video_id").agg(sorted_items(order, item).alias("concepts"))
+    c = concepts.withColumn("id", number).join(metrics, ["video_id", "name"]).groupBy("video_id").agg(sorted_items(order, item).alias("concepts"))
     rel = F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "relation", "confidence", "evidence", "timestamp", "detection_method")
     e = edges.groupBy("video_id").agg(sorted_items(F.struct((-F.col("confidence")).alias("c"), "src", "dst"), rel).alias("relationships"))
     t = timeline(concepts)
     t = t.groupBy("video_id").agg(sorted_items(F.col("pos"), F.struct("time", "concept", "importance")).alias("timeline"))
     p = path.groupBy("video_id").agg(sorted_items(F.col("step"), F.col("name")).alias("learning_path"))
-    a = analytics(concepts, edges).join(metrics_summary(metrics, edges), "video_id")
+    a = analytics(concepts, edges).withColumn("avg_confidence", round_half(F.col("avg_confidence"), 4)).join(metrics_summary(metrics, edges), "video_id")
     doc = c.join(e, "video_id", "left").join(t, "video_id", "left").join(p, "video_id", "left").join(a, "video_id")
+    if meta is not None:
+        doc = doc.join(meta.select("video_id", "source_file", "language_detected"), "video_id", "left")
+    at = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if processed_at is None else processed_at
+    told = [F.coalesce(F.col(x), F.lit("")).alias(x) for x in ("source_file", "language_detected")] if meta is not None else []
     figures = F.struct("total_concepts", "total_relationships", "avg_confidence", "density", "max_depth", "num_communities")
-    body = F.struct("video_id", F.struct(F.lit(LANGUAGE).alias("language")).alias("metadata"), "concepts", F.coalesce("relationships", F.array().cast(e.schema["relationships"].dataType)).alias("relationships"), F.coalesce("timeline", F.array().cast(t.schema["timeline"].dataType)).alias("timeline"), "learning_path", figures.alias("analytics"))
+    metadata = F.struct("video_id", at.alias("processed_at"), F.lit(LANGUAGE).alias("language"), *told)
+    body = F.struct("video_id", metadata.alias("metadata"), "concepts", F.coalesce("relationships", F.array().cast(e.schema["relationships"].dataType)).alias("relationships"), F.coalesce("timeline", F.array().cast(t.schema["timeline"].dataType)).alias("timeline"), "learning_path", figures.alias("analytics"))
     return doc.select("video_id", F.to_json(body).alias("document"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgraph.functions.dims import METHOD_WEIGHTS, OTHER_METHOD_WEIGHT
-from kgraph.operators.iterate import components, materialise
+from kgraph.operators.iterate import Superseded, components, materialise
 
 METRICS = "video_id {key}, name string, pagerank double, betweenness double, in_degree_centrality double, out_degree_centrality double, hub_score double, authority_score double, depth int, community int"
 
@@ -153,32 +153,40 @@ def hits(nodes: DataFrame, edges: DataFrame, iterations: int = 8) -> DataFrame:
     return nodes.select("video_id", "name").join(h, ["video_id", "name"], "left").join(a, ["video_id", "name"], "left").na.fill(0.0, ["hub", "auth"]).select("video_id", "name", F.col("hub").alias("hub_score"), F.col("auth").alias("authority_score"))
 
 
-def depth(nodes: DataFrame, edges: DataFrame, max_rounds: int = 500) -> DataFrame:
-    """Longest path from a root in an acyclic graph; only nodes whose depth rose are relaxed again."""
+def depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Longest path from a root in an acyclic graph; only nodes whose depth rose are relaxed again.
+
+    A node deeper than its video has nodes stands on a cycle; that, not a number of rounds, ends the work with an error.
+    """
     edges = materialise(edges.select("video_id", "src", "dst"), "edges")
-    best = front = materialise(nodes.select("video_id", "name", F.lit(0).alias("depth")), "depth")
-    for i in range(max_rounds):
-        step = edges.join(front.withColumnRenamed("name", "src"), ["video_id", "src"]).groupBy("video_id", F.col("dst").alias("name")).agg((F.max("depth") + 1).alias("d"))
-        merged = best.join(step, ["video_id", "name"], "left")
-        risen = materialise(merged.select("video_id", "name", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth"), (F.coalesce("d", F.lit(0)) > F.col("depth")).alias("up")), "depth")
-        best, front = risen.drop("up"), risen.where("up").drop("up")
-        if front.isEmpty():
-            return best
-    raise ValueError("the graph has a cycle; break cycles first")
-
-
-def closure(edges: DataFrame, seeds: DataFrame, forward: bool, max_rounds: int = 500) -> DataFrame:
+    keep = Superseded(nodes.sparkSession)
+    best = keep(nodes.select("video_id", "name", F.lit(0).alias("depth"), F.lit(True).alias("up"), F.count(F.lit(1)).over(Window.partitionBy("video_id")).alias("n")), "depth")
+    while True:
+        front = best.where("up").select("video_id", F.col("name").alias("src"), "depth")
+        step = edges.join(front, ["video_id", "src"]).groupBy("video_id", F.col("dst").alias("name")).agg((F.max("depth") + 1).alias("d"))
+        d = F.coalesce("d", F.lit(0))
+        best = keep(best.drop("up").join(step, ["video_id", "name"], "left").select("video_id", "name", F.greatest("depth", d).alias("depth"), (d > F.col("depth")).alias("up"), "n"), "depth")
+        state = best.agg(F.max("up"), F.max(F.col("depth") >= F.col("n"))).first()
+        if state[1]:
+            raise ValueError("the graph has a cycle; break cycles first")
+        if not state[0]:
+            return best.select("video_id", "name", "depth")
+
+
+def closure(edges: DataFrame, seeds: DataFrame, forward: bool) -> DataFrame:
     """video_id, name (seed), reached: all ancestors (forward=False) or descendants of the seeds, without themselves."""
     a, b = ("src", "dst") if forward else ("dst", "src")
-    step = materialise(edges.select("video_id", F.col(a).alias("at"), F.col(b).alias("next")).distinct(), "steps")
-    seen = front = seeds.select("video_id", "name", F.col("name").alias("reached"))
-    for _ in range(max_rounds):
-        new = front.join(step, (front["video_id"] == step["video_id"]) & (front["reached"] == step["at"])).select(front["video_id"], "name", F.col("next").alias("reached")).distinct()
-        front = materialise(new.join(seen, ["video_id", "name", "reached"], "left_anti"), "front")
-        if front.isEmpty():
-            break
-        seen = materialise(seen.unionByName(front), "seen")
-    return seen.where("name <> reached")
+    step = materialise(edges.select(F.col("video_id").alias("v"), F.col(a).alias("at"), F.col(b).alias("next")).distinct(), "steps")
+    keep = Superseded(edges.sparkSession)
+    seen = keep(seeds.select("video_id", "name", F.col("name").alias("reached"), F.lit(0).alias("hop")).distinct(), "seen")
+    hop = 0
+    while True:  # until no round finds anything new
+        front = seen.where(F.col("hop") == hop)
+        new = front.join(step, (F.col("video_id") == F.col("v")) & (F.col("reached") == F.col("at"))).select("video_id", "name", F.col("next").alias("reached")).distinct()
+        new = new.join(seen, ["video_id", "name", "reached"], "left_anti").withColumn("hop", F.lit(hop + 1))
+        seen, hop = keep(seen.unionByName(new), "seen"), hop + 1
+        if seen.where(F.col("hop") == hop).isEmpty():
+            return seen.where("name <> reached").drop("hop")
 
 
 def ancestors(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgraph.functions.dims import SCAN_CUES, escape
+from kgraph.functions.dims import SCAN_CUES, escape, gate
 from kgraph.functions.romanise import romanise
 from kgraph.functions.scalars import bind, ordered_text, time_label
 
@@ -79,14 +78,27 @@ def normalise_segments(segments: DataFrame, lexicon: dict[str, str]) -> DataFram
 
 
 def scan_cues(texts: DataFrame, cues=SCAN_CUES) -> DataFrame:
-    """video_id, text -> every match of the scan cues, with offsets: matched_text, groups, template, start_pos, end_pos."""
-    compiled = [(re.compile(p, re.I), t) for p, t in cues]
-    keys = "|".join(["pe?h", "baad", "depend", "za", "based", "bina", "mund", "tarva", "av", "lekunda"])
+    """video_id, text -> every match of the scan cues, with offsets: matched_text, groups, template, start_pos, end_pos.
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(v, m[0], list(m.groups()), t, m.start(), m.end()) for v, text in zip(pdf["video_id"], pdf["text"]) for p, t in compiled for m in p.finditer(text or "")]
-            yield pd.DataFrame(rows, columns=["video_id", "matched_text", "groups", "template", "start_pos", "end_pos"])
+    A cue runs only on texts that hold its gate.
+    """
+    found = [F.when(F.col("text").rlike(f"(?iU){gate(p)}"), _cue_rows(p, template)) for p, template in cues]
+    hits = texts.where(F.col("text").isNotNull()).select("video_id", F.explode(F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull()))).alias("m"))
+    return hits.select("video_id", "m.*")
 
-    kind = texts.schema["video_id"].dataType.simpleString()
-    return texts.where(F.col("text").rlike(f"(?i){keys}")).select("video_id", "text").mapInPandas(run, f"video_id {kind}, matched_text string, groups array<string>, template string, start_pos int, end_pos int")
+
+def _cue_rows(pattern: str, template: str) -> Column:
+    p, groups = F.lit(f"(?iU){pattern}"), re.compile(pattern).groups
+    parts = [F.regexp_extract_all("text", p, F.lit(k)).alias(f"g{k}") for k in range(groups + 1)]
+    gaps = F.call_function("split", F.col("text"), p, F.lit(-1)).alias("gaps")  # what stands before each match
+    width = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + F.length(y))
+
+    def rows(h: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            start = width(F.slice(h["gaps"], F.lit(1), i + 1)) + width(F.slice(h["g0"], F.lit(1), i))
+            inside = F.array(*[F.get(h[f"g{k}"], i) for k in range(1, groups + 1)])
+            return F.struct(m.alias("matched_text"), inside.alias("groups"), F.lit(template).alias("template"), start.alias("start_pos"), (start + F.length(m)).alias("end_pos"))
+
+        return F.transform(h["g0"], one)
+
+    return bind(F.struct(*parts, gaps), rows)

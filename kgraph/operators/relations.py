@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgraph.functions.dims import gate
 from kgraph.functions.scalars import conjuncts, sentences
 
+#: fixed values: what edges without a sentence give as evidence
+TEMPORAL_EVIDENCE = "temporal order: %s mentioned at %ds, %s at %ds"
+COOCCURRENCE_EVIDENCE = "co-occurrence: both '%s' and '%s' appear in same segment"
 EDGE = ["video_id", "src", "dst", "relation", "confidence", "evidence", "timestamp", "detection_method"]
 
 
@@ -22,12 +26,14 @@ def sentence_table(segments: DataFrame) -> DataFrame:
 def cue_matches(sents: DataFrame, cues: list[tuple[str, str, float]]) -> DataFrame:
     """One row per match of a cue in a sentence: pat_idx, direction, confidence, match_idx, first, second.
 
-    Patterns are literals, so each is compiled once per task; they run in one pass over the sentences.
+    Patterns are literals, so each is compiled once per task; they run in one pass over the sentences, and only where
+    the cue's gate is found.
     """
     found = []
     for i, (pattern, direction, confidence) in enumerate(cues):
         p = F.lit(f"(?iU){pattern}")
-        hits = F.zip_with(F.regexp_extract_all("sentence", p, F.lit(1)), F.regexp_extract_all("sentence", p, F.lit(2)), lambda x, y: F.struct(x.alias("first"), y.alias("second")))
+        both = F.zip_with(F.regexp_extract_all("sentence", p, F.lit(1)), F.regexp_extract_all("sentence", p, F.lit(2)), lambda x, y: F.struct(x.alias("first"), y.alias("second")))
+        hits = F.when(F.col("sentence").rlike(f"(?iU){gate(pattern)}"), both)
         found.append(F.struct(F.lit(i).alias("pat_idx"), F.lit(direction).alias("direction"), F.lit(float(confidence)).alias("confidence"), hits.alias("hits")))
     rows = sents.select("*", F.explode(F.filter(F.array(*found), lambda f: F.size(f["hits"]) > 0)).alias("f"))
     rows = rows.select(*sents.columns, "f.pat_idx", "f.direction", "f.confidence", F.posexplode("f.hits").alias("match_idx", "h"))
@@ -71,8 +77,9 @@ def temporal_edges(firsts: DataFrame, successors: int = 3, gap: int = 30) -> Dat
     nexts = F.array(*[F.lead(F.struct("name", "first_sec", "first_mention"), k).over(w) for k in range(1, successors + 1)])
     e = seen.withColumn("n", nexts).select("video_id", F.col("name").alias("src"), "first_sec", F.explode("n").alias("n")).where("n IS NOT NULL")
     diff = F.col("n.first_sec") - F.col("first_sec")
-    conf = F.least(F.lit(0.55), F.lit(0.35) + diff / F.lit(600) * F.lit(0.2))
-    return e.where(diff >= gap).select("video_id", "src", F.col("n.name").alias("dst"), F.lit("prerequisite").alias("relation"), conf.alias("confidence"), F.concat(F.col("src"), F.lit(" is introduced before "), F.col("n.name")).alias("evidence"), F.col("n.first_mention").alias("timestamp"), F.lit("temporal").alias("detection_method"))
+    conf = F.round(F.least(F.lit(0.55), F.lit(0.35) + diff / F.lit(600) * F.lit(0.2)), 4)
+    evidence = F.format_string(TEMPORAL_EVIDENCE, "src", "first_sec", F.col("n.name"), F.col("n.first_sec"))
+    return e.where(diff >= gap).select("video_id", "src", F.col("n.name").alias("dst"), F.lit("prerequisite").alias("relation"), conf.alias("confidence"), evidence.alias("evidence"), F.lit("").alias("timestamp"), F.lit("temporal_order").alias("detection_method"))
 
 
 def cooccurrence_edges(found: DataFrame, firsts: DataFrame, confidence: float = 0.45) -> DataFrame:
@@ -81,7 +88,7 @@ def cooccurrence_edges(found: DataFrame, firsts: DataFrame, confidence: float =
     b = m.select("video_id", "seg_id", F.col("name").alias("dst"), F.col("first_sec").alias("sec_b"))
     pairs = m.withColumnRenamed("name", "src").join(b, ["video_id", "seg_id"]).where("first_sec < sec_b")
     best = pairs.groupBy("video_id", "src", "dst").agg(F.min_by("timestamp_label", "seg_id").alias("timestamp"))
-    return best.select("video_id", "src", "dst", F.lit("prerequisite").alias("relation"), F.lit(confidence).alias("confidence"), F.concat(F.col("src"), F.lit(" and "), F.col("dst"), F.lit(" occur together")).alias("evidence"), "timestamp", F.lit("cooccurrence").alias("detection_method"))
+    return best.select("video_id", "src", "dst", F.lit("prerequisite").alias("relation"), F.lit(confidence).alias("confidence"), F.format_string(COOCCURRENCE_EVIDENCE, "src", "dst").alias("evidence"), "timestamp", F.lit("cooccurrence").alias("detection_method"))
 
 
 def priority_merge(frames: list[DataFrame]) -> DataFrame:

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kgraph.functions.dims import METHOD_WEIGHTS, OTHER_METHOD_WEIGHT, STOP_WORDS, lexicon_table
-from kgraph.functions.scalars import chunks, conjuncts, label_seconds, repaired
+from kgraph.functions.dims import CUES, METHOD_WEIGHTS, OTHER_METHOD_WEIGHT, STOP_WORDS, lexicon_table
+from kgraph.functions.romanise import romanise
+from kgraph.functions.scalars import chunks, conjuncts, label_seconds, repaired, title_case
 from kgraph.operators import concepts as C
 from kgraph.operators import export, graph, relations
 from kgraph.operators import normalise as N
@@ -22,7 +23,7 @@ LEXICON = {"the": "le", "and": "et", "that": "dass", "with": "mit", "for": "", "
 PHRASES = {"and the": "und die", "of the": "vom", "to the": "zum", "in the": "im"}
 MERGE_H = {"a": {"good": "well", "base": "basis"}, "b": {"good": "", "easy": "light"}}
 MERGE_T = {"a": {"easy": "simple", "before": "ahead"}, "b": {"before": "prior", "base": "floor"}}
-CUES = [(r"([a-z]+)\s+that\s+([a-z]+)", "forward", 0.9), (r"([a-z]+)\s+(?:with|from)\s+([a-z]+)", "backward", 0.7), (r"([a-z]+)\s+this\s+([a-z]+)", "forward", 0.6)]
+STAND_INS = {"the": "depends on", "of": "ke baad", "to": "works with", "de": "leads to", "la": "se", "der": "uses", "and": "aur", "in": "is required for", "que": "mein", "die": "ke liye"}
 SIMILAR = 0.40
 RANK_ROUNDS, HITS_ROUNDS = 10, 4
 
@@ -59,14 +60,15 @@ def dictionary(frame: DataFrame, n: int = N_TERMS) -> DataFrame:
     return frame.sparkSession.createDataFrame(top.collect(), "term string, n long")  # n rows
 
 
-def counts(spark, d):
+def counts(spark, d, words=None):
     t = texts(spark, d)
-    return C.term_counts(t, dictionary(t).select("term"), ["video_id"])
+    words = dictionary(t) if words is None else words
+    return C.term_counts(t, words.select("term"), ["video_id"])
 
 
-def aliases(spark, d):
+def aliases(words):
     """The second half of the dictionary, by rank, stands for the first."""
-    r = dictionary(texts(spark, d)).withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "term")))
+    r = words.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "term")))
     half = N_TERMS // 2
     a, b = r.where(F.col("r") > half).select(F.col("term").alias("alias"), (F.col("r") - half).alias("k")), r.where(F.col("r") <= half).select(F.col("term").alias("canonical"), F.col("r").alias("k"))
     return a.join(b, "k").select("alias", "canonical")
@@ -111,10 +113,10 @@ E_CTE = F_CTE + f""", e AS (
   FROM m a JOIN m b ON a.video_id = b.video_id AND a.seg_id = b.seg_id
   JOIN f fa ON fa.video_id = a.video_id AND fa.name = a.name JOIN f fb ON fb.video_id = b.video_id AND fb.name = b.name
   WHERE fa.first_sec < fb.first_sec GROUP BY ALL),
- co AS (SELECT video_id, src, dst, 'prerequisite' AS relation, 0.45::DOUBLE AS confidence, src || ' and ' || dst || ' occur together' AS evidence, {LABEL.format(x='seg * 10')} AS "timestamp", 'cooccurrence' AS detection_method FROM e)"""
+ co AS (SELECT video_id, src, dst, 'prerequisite' AS relation, 0.45::DOUBLE AS confidence, 'co-occurrence: both ''' || src || ''' and ''' || dst || ''' appear in same segment' AS evidence, {LABEL.format(x='seg * 10')} AS "timestamp", 'cooccurrence' AS detection_method FROM e)"""
 TE_CTE = """, o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY first_sec, name) AS rn FROM f),
- te AS (SELECT a.video_id, a.name AS src, b.name AS dst, 'prerequisite' AS relation, least(0.55::DOUBLE, 0.35::DOUBLE + (b.first_sec - a.first_sec) / 600.0::DOUBLE * 0.2::DOUBLE) AS confidence,
-  a.name || ' is introduced before ' || b.name AS evidence, b.first_mention AS "timestamp", 'temporal' AS detection_method
+ te AS (SELECT a.video_id, a.name AS src, b.name AS dst, 'prerequisite' AS relation, round(least(0.55::DOUBLE, 0.35::DOUBLE + (b.first_sec - a.first_sec) / 600.0::DOUBLE * 0.2::DOUBLE), 4) AS confidence,
+  'temporal order: ' || a.name || ' mentioned at ' || a.first_sec || 's, ' || b.name || ' at ' || b.first_sec || 's' AS evidence, '' AS "timestamp", 'temporal_order' AS detection_method
   FROM o a JOIN o b ON a.video_id = b.video_id AND b.rn BETWEEN a.rn + 1 AND a.rn + 3 WHERE b.first_sec - a.first_sec >= 30)"""
 MERGED_CTE = ", u AS (SELECT *, 0 AS p FROM te UNION ALL SELECT *, 1 AS p FROM co), mg AS (SELECT * EXCLUDE (p) FROM u QUALIFY row_number() OVER (PARTITION BY video_id, src, dst ORDER BY p) = 1)"
 STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -142,8 +144,11 @@ _CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LEXICON.items() if v)
 _MARKS = "'.,!?;:()[]{}\"' || chr(39)"
 
 
-@query(f"""SELECT doc_id AS video_id, array_to_string(list_transform(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> ''),
- lambda w: CASE WHEN lower(trim(w, {_MARKS})) IN ({', '.join(repr(k) for k, v in LEXICON.items() if v)}) THEN regexp_extract(w, '^[^\\p{{L}}\\p{{N}}]*') || (CASE lower(trim(w, {_MARKS})) {_CASES} END) || regexp_extract(w, '[^\\p{{L}}\\p{{N}}]*$') ELSE w END), ' ') AS text FROM documents""")
+_WORDS_SQL = f"""array_to_string(list_transform(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> ''),
+ lambda w: CASE WHEN lower(trim(w, {_MARKS})) IN ({', '.join(repr(k) for k, v in LEXICON.items() if v)}) THEN regexp_extract(w, '^[^\\p{{L}}\\p{{N}}]*') || (CASE lower(trim(w, {_MARKS})) {_CASES} END) || regexp_extract(w, '[^\\p{{L}}\\p{{N}}]*$') ELSE w END), ' ')"""
+
+
+@query(f"SELECT doc_id AS video_id, {_WORDS_SQL} AS text FROM documents")
 def lexicon_word_replace(spark, d):
     return texts(spark, d).select("video_id", N.word_replace(F.col("text"), LEXICON).alias("text"))
 
@@ -169,12 +174,17 @@ def lexicon_precedence_merge(spark, d):
     return N.merge_lexicon_table(lexicon_table(spark, MERGE_H, MERGE_T))
 
 
-@query()
+@query(f"""WITH p AS ({_phrase_sql()}) SELECT video_id, CASE WHEN trim(text) = '' THEN text ELSE {_WORDS_SQL} END AS text FROM p""")
 def normalise_text(spark, d):
     return texts(spark, d).select("video_id", N.normalise_text(F.col("text"), LEXICON | PHRASES).alias("text"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (
+  SELECT doc_id AS video_id, text AS whole, 0 AS chunk, 0 AS lo, length(text) AS n FROM documents WHERE length(text) > 0
+  UNION ALL SELECT video_id, whole, chunk + 1, greatest(hi - 200, lo + 1), n FROM (SELECT *, CASE WHEN lo + 1000 >= n THEN n WHEN contains(substr(whole, lo + 1, 1000), ' ') AND
+    length(regexp_extract(substr(whole, lo + 1, 1000), '(?s)^(.*) ', 1)) > 500 THEN lo + length(regexp_extract(substr(whole, lo + 1, 1000), '(?s)^(.*) ', 1)) ELSE lo + 1000 END AS hi FROM c) WHERE hi < n)
+SELECT video_id, chunk, substr(whole, lo + 1, CASE WHEN lo + 1000 >= n THEN n - lo WHEN contains(substr(whole, lo + 1, 1000), ' ') AND
+    length(regexp_extract(substr(whole, lo + 1, 1000), '(?s)^(.*) ', 1)) > 500 THEN length(regexp_extract(substr(whole, lo + 1, 1000), '(?s)^(.*) ', 1)) ELSE 1000 END) AS text FROM c""")
 def chunk_overlap(spark, d):
     return texts(spark, d).select("video_id", F.posexplode(chunks(F.col("text"), 1000, 0.2)).alias("chunk", "text"))
 
@@ -191,6 +201,18 @@ def conjunction_split(spark, d):
     return relations.sentence_table(seg).select("video_id", "sentence", F.explode(conjuncts(F.col("sentence"))).alias("part"))
 
 
+@query()
+def scan_cue_matches(spark, d):
+    return N.scan_cues(texts(spark, d).withColumn("text", with_cues(F.col("text"))))
+
+
+@query()
+def romanised_names(spark, d):
+    """The sample words of the tests in three scripts, beside every document's first word."""
+    words = F.array(*map(F.lit, ("पहले", "ముందు", "پہلے")))
+    return texts(spark, d).select("video_id", F.transform(F.concat(words, F.slice(F.split("text", r"\s+"), 1, 1)), romanise).alias("latin"))
+
+
 # --- concept scoring ------------------------------------------------------------------------------------------------
 @query(f"WITH {SCORE_CTE} SELECT video_id, concept, n, round(score, 9) AS domain_match FROM sc")
 def domain_match_score(spark, d):
@@ -202,13 +224,15 @@ _ALIAS_CTE = f", r AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) AS
 
 @query(f"WITH {DOC_CTE}{_ALIAS_CTE} SELECT video_id, coalesce(canonical, term) AS concept, sum(n)::BIGINT AS n FROM cnt LEFT JOIN al ON term = alias GROUP BY ALL")
 def alias_canonicalise(spark, d):
-    return C.canonical_counts(counts(spark, d), aliases(spark, d), ["video_id"])
+    words = dictionary(texts(spark, d))
+    return C.canonical_counts(counts(spark, d, words), aliases(words), ["video_id"])
 
 
 @query(f"""WITH {DOC_CTE}{_ALIAS_CTE}, c AS (SELECT video_id, coalesce(canonical, term) AS concept, sum(n) AS n FROM cnt LEFT JOIN al ON term = alias GROUP BY ALL)
 SELECT video_id, concept, round(least(ln(1 + n) / ln(1 + greatest(3, max(n) OVER (PARTITION BY video_id))), 1.0), 9) AS frequency_score FROM c""")
 def frequency_score(spark, d):
-    c = C.canonical_counts(counts(spark, d), aliases(spark, d), ["video_id"])
+    words = dictionary(texts(spark, d))
+    c = C.canonical_counts(counts(spark, d, words), aliases(words), ["video_id"])
     return c.select("video_id", "concept", F.round(C.damped(F.col("n"), ["video_id"]), 9).alias("frequency_score"))
 
 
@@ -305,20 +329,57 @@ def first_mention(spark, d):
     return firsts(found(spark, d))
 
 
-def _cue_sql():
+def with_cues(text):
+    """Texts of the driver hold no cues, so frequent words stand in for them."""
+    for word, cue in STAND_INS.items():
+        text = F.replace(text, F.lit(f" {word} "), F.lit(f" {cue} "))
+    return text
+
+
+def _with_cues_sql(text="text"):
+    for word, cue in STAND_INS.items():
+        text = f"replace({text}, ' {word} ', ' {cue} ')"
+    return text
+
+
+def _cue_sql(key, seg, frm):
+    """CTEs s (sentences) and x (lists of matches) over a table."""
     parts = []
     for i, (p, direction, c) in enumerate(CUES):
-        parts.append(f"SELECT video_id, sentence, {i} AS pat_idx, '{direction}' AS direction, {c}::DOUBLE AS confidence, regexp_extract_all(sentence, '(?i){p}', 1) AS a, regexp_extract_all(sentence, '(?i){p}', 2) AS b FROM s")
-    src = "s AS (SELECT doc_id AS video_id, unnest(list_filter(list_transform(string_split_regex(text, '[.!?।]+'), lambda x: trim(x)), lambda x: x <> '')) AS sentence FROM documents WHERE lang = 'en')"
-    return f"WITH {src}, x AS ({' UNION ALL '.join(parts)}) SELECT video_id, sentence, pat_idx, direction, confidence, (generate_subscripts(a, 1) - 1)::INT AS match_idx, unnest(a) AS first, unnest(b) AS second FROM x"
+        parts.append(f"SELECT video_id, seg_id, sent_idx, sentence, {i} AS pat_idx, '{direction}' AS direction, {c}::DOUBLE AS confidence, regexp_extract_all(sentence, '(?i){p}', 1) AS a, regexp_extract_all(sentence, '(?i){p}', 2) AS b FROM s")
+    lists = f"SELECT {key} AS video_id, {seg} AS seg_id, list_filter(list_transform(string_split_regex({_with_cues_sql()}, '[.!?।]+'), lambda x: trim(x)), lambda x: x <> '') AS l FROM {frm}"
+    return f"sl AS ({lists}), s AS (SELECT video_id, seg_id, unnest(l) AS sentence, (generate_subscripts(l, 1) - 1)::INT AS sent_idx FROM sl), x AS ({' UNION ALL '.join(parts)}), mt AS (SELECT video_id, seg_id, sent_idx, sentence, pat_idx, direction, confidence, (generate_subscripts(a, 1) - 1)::INT AS match_idx, unnest(a) AS first, unnest(b) AS second FROM x)"
 
 
-@query(_cue_sql())
+@query(f"WITH {_cue_sql('doc_id', '0', 'documents')} SELECT video_id, sentence, pat_idx, direction, confidence, match_idx, first, second FROM mt")
 def cue_match_generate(spark, d):
-    t = read(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("video_id"), F.lit(0).alias("seg_id"), F.lit("0:00").alias("timestamp_label"), "text")
+    t = read(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.lit(0).alias("seg_id"), F.lit("0:00").alias("timestamp_label"), with_cues(F.col("text")).alias("text"))
     return relations.cue_matches(relations.sentence_table(t), CUES).select("video_id", "sentence", "pat_idx", "direction", "confidence", "match_idx", "first", "second")
 
 
+@query(f"""WITH {M_CTE}, {_cue_sql('conv_id', 'turn', 'conversations')}, dd AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) AS rk FROM dict),
+ k AS (SELECT DISTINCT video_id, name, rk FROM m JOIN dd ON term = name),
+ fr AS (SELECT *, 'a' AS side, first AS frag FROM mt UNION ALL SELECT *, 'b', second FROM mt),
+ pl AS (SELECT *, list_transform(string_split_regex(lower(trim(frag)), '\\s+(?:aur|and|or|ya|evam)\\s+'), lambda x: trim(x)) AS l FROM fr),
+ pt AS (SELECT * EXCLUDE (l), unnest(l) AS p, generate_subscripts(l, 1) AS part FROM pl UNION ALL SELECT * EXCLUDE (l), lower(trim(frag)), 1000000 FROM pl),
+ ht AS (SELECT pt.*, name FROM pt JOIN k ON k.video_id = pt.video_id AND contains(p, name)
+   QUALIFY row_number() OVER (PARTITION BY pt.video_id, seg_id, sent_idx, pat_idx, match_idx, side, part ORDER BY (p = name)::INT DESC, length(name) DESC, rk) = 1),
+ ok AS (SELECT * FROM ht QUALIFY part < 1000000 OR min(part) OVER (PARTITION BY video_id, seg_id, sent_idx, pat_idx, match_idx, side) = 1000000),
+ nm AS (SELECT video_id, seg_id, sent_idx, pat_idx, match_idx, side, name, direction, confidence, sentence, min(part) AS part FROM ok GROUP BY ALL),
+ pr AS (SELECT a.video_id, a.seg_id, a.sent_idx, a.pat_idx, a.match_idx, a.confidence, a.sentence, a.part AS pa, b.part AS pb,
+   CASE WHEN a.direction = 'forward' THEN a.name ELSE b.name END AS src, CASE WHEN a.direction = 'forward' THEN b.name ELSE a.name END AS dst
+   FROM nm a JOIN nm b USING (video_id, seg_id, sent_idx, pat_idx, match_idx) WHERE a.side = 'a' AND b.side = 'b' AND a.name <> b.name)
+SELECT video_id, src, dst, 'prerequisite' AS relation, confidence, sentence AS evidence, {LABEL.format(x='seg_id * 10')} AS "timestamp", 'pattern_matching' AS detection_method FROM pr
+QUALIFY row_number() OVER (PARTITION BY video_id, src, dst ORDER BY seg_id, sent_idx, pat_idx, match_idx, pa, pb) = 1""")
+def pattern_edges(spark, d):
+    """All cues over all segments; concepts of a video are the dictionary's terms that it mentions, ranked as in the dictionary."""
+    s = turns(spark, d)
+    words = dictionary(s)
+    ranks = words.select(F.col("term").alias("name"), F.row_number().over(Window.orderBy(F.desc("n"), "term")).alias("concept_rank"))
+    names = C.mentions(s, words.select(F.col("term").alias("name"))).select("video_id", "name").distinct().join(F.broadcast(ranks), "name")  # ranks: N_TERMS rows
+    return relations.pattern_edges(s.withColumn("text", with_cues(F.col("text"))), names, CUES)
+
+
 @query(f"""WITH {M_CTE}, dd AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) AS rk FROM dict), fr AS (SELECT conv_id AS video_id, turn AS seg_id, lower(trim(text)) AS p FROM conversations)
 SELECT video_id, seg_id, term AS name FROM fr JOIN dd ON contains(p, term) QUALIFY row_number() OVER (PARTITION BY video_id, seg_id ORDER BY (p = term)::INT DESC, length(term) DESC, rk) = 1""")
 def longest_fragment_concept(spark, d):
@@ -433,16 +494,16 @@ def graph_density(spark, d):
     return graph.density(nodes(spark, d), cooc(spark, d)).withColumn("density", F.round("density", 9))
 
 
-def _rank_sql():
-    out = f"WITH {N_CTE}, b AS (SELECT n.video_id, n.name, n.n, din AS deg FROM n LEFT JOIN di USING (video_id, name)), r0 AS (SELECT *, 1.0::DOUBLE / n AS r FROM b)"
+def _rank_ctes():
+    out = f"b AS (SELECT n.video_id, n.name, n.n, din AS deg FROM n LEFT JOIN di USING (video_id, name)), r0 AS (SELECT *, 1.0::DOUBLE / n AS r FROM b)"
     for i in range(RANK_ROUNDS):
         out += f""", g{i} AS (SELECT co.video_id, co.src AS name, sum(r / deg) AS f FROM co JOIN r{i} x ON x.video_id = co.video_id AND x.name = co.dst GROUP BY ALL),
  l{i} AS (SELECT video_id, sum(r) AS loose FROM r{i} WHERE deg IS NULL GROUP BY ALL),
  r{i + 1} AS (SELECT b.*, 0.15 / n + 0.85 * (coalesce(f, 0) + coalesce(loose, 0) / n) AS r FROM b LEFT JOIN g{i} USING (video_id, name) LEFT JOIN l{i} USING (video_id))"""
-    return out + f" SELECT video_id, name, round(r, 6) AS pagerank FROM r{RANK_ROUNDS}"
+    return out + f", pg AS (SELECT video_id, name, round(r, 6) AS pagerank FROM r{RANK_ROUNDS})"
 
 
-@query(_rank_sql())
+@query(f"WITH {N_CTE}, {_rank_ctes()} SELECT * FROM pg")
 def pagerank_fixed_iters(spark, d):
     return graph.pagerank(nodes(spark, d), cooc(spark, d), RANK_ROUNDS).withColumn("pagerank", F.round("pagerank", 6))
 
@@ -478,13 +539,14 @@ def descendants(spark, d):
     return graph.descendants(cooc(spark, d), nodes(spark, d))
 
 
-@query(f"""WITH RECURSIVE {E_CTE}, {DEPTH_SQL}, dx AS (SELECT video_id, src AS name, count(*) AS dout FROM co GROUP BY ALL)
-SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY depth, coalesce(dout, 0) DESC, coalesce(first_sec, 9999), frequency DESC, name)::INT AS step, name
-FROM dm JOIN f USING (video_id, name) LEFT JOIN dx USING (video_id, name)""")
+@query(f"""WITH RECURSIVE {N_CTE}, {_rank_ctes()}, {DEPTH_SQL}
+SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY depth, coalesce(dout, 0) DESC, pagerank DESC, coalesce(first_sec, 9999), frequency DESC, name)::INT AS step, name
+FROM dm JOIN f USING (video_id, name) JOIN pg USING (video_id, name) LEFT JOIN dx USING (video_id, name)""")
 def learning_path_order(spark, d):
     e, n = cooc(spark, d), nodes(spark, d)
     out = e.groupBy("video_id", F.col("src").alias("name")).agg(F.count(F.lit(1)).alias("out_degree"))
-    m = graph.depth(n, e).join(n, ["video_id", "name"]).join(out, ["video_id", "name"], "left").na.fill(0, ["out_degree"]).withColumn("pagerank", F.lit(0.0))
+    ranks = graph.pagerank(n, e, RANK_ROUNDS).withColumn("pagerank", F.round("pagerank", 6))
+    m = graph.depth(n, e).join(n, ["video_id", "name"]).join(ranks, ["video_id", "name"]).join(out, ["video_id", "name"], "left").na.fill(0, ["out_degree"])
     return graph.learning_path(m)
 
 
@@ -547,11 +609,9 @@ def metrics_summary(spark, d):
     return s.select("video_id", F.round("density", 9).alias("density"), "max_depth", "longest_path")
 
 
-@query(f"WITH {N_CTE}, p AS (SELECT video_id, name, coalesce(dout, 0)::DOUBLE AS pr FROM n LEFT JOIN dx USING (video_id, name)) SELECT video_id, name, round(20 + 30 * pr / greatest(max(pr) OVER (PARTITION BY video_id), 1e-12), 6) AS size FROM p")
+@query(f"WITH {N_CTE}, {_rank_ctes()} SELECT video_id, name, round(20 + 30 * pagerank / greatest(max(pagerank) OVER (PARTITION BY video_id), 1e-12), 6) AS size FROM pg")
 def viz_node_style(spark, d):
-    """Sizes by out-degree, which SQL has as well."""
-    out = cooc(spark, d).groupBy("video_id", F.col("src").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("pagerank"))
-    m = nodes(spark, d).select("video_id", "name").join(out, ["video_id", "name"], "left").na.fill(0.0, ["pagerank"]).withColumn("community", F.lit(0))
+    m = graph.pagerank(nodes(spark, d), cooc(spark, d), RANK_ROUNDS).withColumns({"pagerank": F.round("pagerank", 6), "community": F.lit(0)})
     return export.node_style(m).select("video_id", "name", F.round("size", 6).alias("size"))
 
 
@@ -598,10 +658,10 @@ def community_members(spark, d):
 
 @query()
 def kg_json_document(spark, d):
-    n = nodes(spark, d).withColumn("title", F.initcap("name"))
+    n = nodes(spark, d).withColumn("title", title_case(F.col("name")))
     e, m = cooc(spark, d), metrics(spark, d)
     out = e.groupBy("video_id", F.col("src").alias("name")).agg(F.count(F.lit(1)).alias("out_degree"))
     path = graph.learning_path(m.join(n.select("video_id", "name", "first_sec", "importance_score"), ["video_id", "name"]).join(out, ["video_id", "name"], "left").na.fill(0, ["out_degree"]))
     e2 = e.withColumn("video_id", F.col("video_id").cast("string"))
     n2, m2, p2 = (x.withColumn("video_id", F.col("video_id").cast("string")) for x in (n, m, path))
-    return export.documents(n2, e2, m2, p2)
+    return export.documents(n2, e2, m2, p2, processed_at=F.lit("2024-01-01T00:00:00Z"))

@@ -125,7 +125,7 @@ def test_weak_temporal_edge_hides_cooccurrence(spark):
     f = spark.createDataFrame([("v", "A", 0, "0:00"), ("v", "B", 40, "0:40")], "video_id string, name string, first_sec int, first_mention string")
     m = spark.createDataFrame([("v", 9, "1:30", "A"), ("v", 9, "1:30", "B")], "video_id string, seg_id int, timestamp_label string, name string")
     merged = relations.priority_merge([relations.temporal_edges(f), relations.cooccurrence_edges(m, f)])
-    assert [r["detection_method"] for r in merged.collect()] == ["temporal"] and relations.keep_confident(merged).count() == 0
+    assert [r["detection_method"] for r in merged.collect()] == ["temporal_order"] and relations.keep_confident(merged).count() == 0
 
 
 CUE_CASES = [
@@ -220,10 +220,82 @@ def test_model_extraction(spark):
     assert d.first()["domain"] == "CS"
 
 
-def test_scan_cues(spark):
-    t = spark.createDataFrame([("v", "mundu stack tarvata queue")], "video_id string, text string")
-    r = N.scan_cues(t).where("template = '{1} before {2}'").first()
-    assert (r["groups"], r["start_pos"]) == (["stack", "queue"], 0)
+def test_scan_cues_are_every_patterns_matches(spark):
+    """Every cue, without a gate, by Python's re; offsets included."""
+    import re
+
+    from kgraph.functions.dims import SCAN_CUES, gate
+
+    cases = [
+        "mundu stack tarvata queue", "pele array fir stack", "Pehle arrays samjho phir lists ab, pehle x phir y z", "heap ke baad tree aur graph ke baad path", "sorting par depend karta hai", "loop zaruri hai array ke liye", "map pe based hai, set par based hai",
+        "heap ke bina sort nahi", "munduku a nerchukondi tarvata b c", "x pyna depend avtundi", "x avasaram y kosam", "x meeda based", "a lekunda b kaadu", "nothing here", "", None,
+    ]
+    t = spark.createDataFrame(list(enumerate(cases)), "video_id long, text string")
+    got = {(r["video_id"], r["matched_text"], tuple(r["groups"]), r["template"], r["start_pos"], r["end_pos"]) for r in N.scan_cues(t).collect()}
+    want = {(i, m[0], m.groups(), template, m.start(), m.end()) for i, c in enumerate(cases) for p, template in SCAN_CUES for m in re.finditer(p, c or "", re.I)}
+    assert got == want and {x[3] for x in want} == {template for _, template in SCAN_CUES}
+    own = [(r"(.+?)\s+beats\s+(\w+)", "{0} over {1}")]
+    assert N.scan_cues(spark.createDataFrame([(1, "rock beats scissors")], "video_id long, text string"), own).first()["groups"] == ["rock", "scissors"]
+    assert gate(SCAN_CUES[2][0]).startswith(r"ke\s+baad") and gate(r"mund(.+?)x") == r"mund(.+?)x"
+
+
+def test_chains_deeper_than_any_round_count(spark):
+    """Closure and depth end when nothing changes, not after a number of rounds."""
+    n = 12
+    e = spark.createDataFrame([("v", f"n{i:03}", f"n{i + 1:03}") for i in range(n)], "video_id string, src string, dst string")
+    nodes = spark.createDataFrame([("v", f"n{i:03}") for i in range(n + 1)], "video_id string, name string")
+    assert graph.descendants(e, nodes.where("name = 'n000'")).count() == n
+    assert graph.depth(nodes, e).agg(F.max("depth")).first()[0] == n
+    ring = e.unionByName(spark.createDataFrame([("v", f"n{n:03}", "n000")], e.schema))
+    with pytest.raises(ValueError, match="cycle"):
+        graph.depth(nodes, ring)
+
+
+def test_doubling_marks_of_any_run(spark):
+    from kgraph.functions.romanise import SHADDA, romanise
+
+    one = spark.range(1).select(romanise(F.lit("ب")).alias("x")).first()["x"]
+    for k in (0, 1, 4, 9):
+        assert spark.range(1).select(romanise(F.lit("ب" + SHADDA * k)).alias("x")).first()["x"] == one * (k + 1)
+
+
+def test_export_figures_and_fields(spark):
+    import json
+
+    c = spark.createDataFrame([("v", "linked_list", "Linked List", 0.123456, 3, "0:10", ["0:10"], "easy"), ("v", "array", "Array", 0.9, 1, None, None, None)], "video_id string, name string, title string, importance_score double, frequency long, first_mention string, timestamps array<string>, difficulty string")
+    e = spark.createDataFrame([("v", "array", "linked_list", "prerequisite", 0.55555, "x", "", "temporal_order")], "video_id string, src string, dst string, relation string, confidence double, evidence string, timestamp string, detection_method string")
+    m = graph.graph_metrics(c.select("video_id", "name"), e)
+    path = spark.createDataFrame([("v", 1, "array"), ("v", 2, "linked_list")], "video_id string, step int, name string")
+    meta = spark.createDataFrame([("v", "a.mp4", "hi")], "video_id string, source_file string, language_detected string")
+    d = json.loads(export.documents(c, e, m, path, meta, F.lit("2024-01-01T00:00:00Z")).first()["document"])
+    assert d["metadata"] == {"video_id": "v", "processed_at": "2024-01-01T00:00:00Z", "language": export.LANGUAGE, "source_file": "a.mp4", "language_detected": "hi"}
+    a, b = d["concepts"]
+    assert (a["id"], a["name"], a["difficulty"], a["teaching_style"], a["timestamps"], a["first_mention"]) == (1, "array", "unknown", [], [], "")
+    assert (b["id"], b["normalized_name"], b["importance_score"], b["difficulty"]) == (2, "Linked List", 0.1235, "easy")
+    assert d["relationships"][0]["confidence"] == round(0.55555, 4) and len(str(b["pagerank"]).split(".")[1]) <= 6
+    assert "T" in json.loads(export.documents(c, e, m, path).first()["document"])["metadata"]["processed_at"]
+
+
+def test_node_colours(spark):
+    rows = [("v", str(i), r, 0) for i, r in enumerate((0.0, 0.25, 0.5, 1.0))]
+    m = spark.createDataFrame(rows, "video_id string, name string, pagerank double, community int")
+    got = {r["name"]: r["colour"] for r in export.node_style(m).collect()}
+    assert got == {"0": "#4dd0e1", "1": "#37b3ea", "2": "#2196f3", "3": "#5c6bc0"}
+    many = m.withColumn("community", F.col("name").cast("int"))
+    assert {r["name"]: r["colour"] for r in export.node_style(many).collect()} == {str(i): export.PALETTE[i] for i in range(4)}
+
+
+def test_log_lines(tmp_path, capsys):
+    from kgraph.log import logger
+
+    log = logger(f"kgraph.test.{tmp_path.name}", file=str(tmp_path / "reports" / "run.log"))
+    log.info("read %d", 3)
+    log.debug("detail")
+    assert logger(log.name) is log and len(log.handlers) == 2
+    for h in log.handlers:
+        h.flush()
+    text = (tmp_path / "reports" / "run.log").read_text()
+    assert "] INFO     kgraph.test" in text and "read 3" in text and "detail" in text and "detail" not in capsys.readouterr().out
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -242,11 +314,30 @@ def test_sources_and_sinks(spark, tmp_path):
     assert "a&lt;b" in page and "</script>" in page
 
 
+def _segments(spark, folder, rows):
+    spark.createDataFrame(rows, "video_id string, seg_id int, start double, text string").coalesce(1).write.mode("append").json(folder)
+
+
 def test_segment_stream(spark, tmp_path):
+    """Two batches: a new video and more of an old one; the bucket of a third is not touched."""
     from kgraph.streaming.segments import rework, segment_stream
 
-    src = tmp_path / "in"
-    spark.createDataFrame([("v", 0, "a stack"), ("w", 0, "b")], "video_id string, seg_id int, text string").coalesce(1).write.json(str(src))
-    q = rework(segment_stream(spark, str(src)), str(tmp_path / "store"), str(tmp_path / "cp"), lambda s: s.groupBy("video_id").agg(F.count(F.lit(1)).alias("n")), str(tmp_path / "out"))
-    q.awaitTermination(60)
-    assert {(r["video_id"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("v", 1), ("w", 1)}
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    run = lambda s: s.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
+    for batch, want in (([("v", 0, 0.0, "a stack"), ("w", 0, 0.0, "b")], {("v", 1), ("w", 1)}), ([("v", 1, 10.0, "c"), ("x", 0, 0.0, "d")], {("v", 2), ("w", 1), ("x", 1)})):
+        _segments(spark, src, batch)
+        rework(segment_stream(spark, src), str(tmp_path / "store"), str(tmp_path / "cp"), run, out).awaitTermination(120)
+        assert {(r["video_id"], r["n"]) for r in spark.read.parquet(out).collect()} == want
+
+
+def test_windowed_mentions_of_lectures_one_after_the_other(spark, tmp_path):
+    """A lecture's first minute counts although another lecture has reached its second hour."""
+    from kgraph.streaming.segments import segment_stream, windowed_mentions
+
+    src = str(tmp_path / "in")
+    for i, batch in enumerate(([("long", 0, 0.0, "a stack"), ("long", 1, 7200.0, "stack stack")], [("new", 0, 30.0, "my stack")])):
+        _segments(spark, src, batch)
+        q = windowed_mentions(segment_stream(spark, src), r"\bstack\b").writeStream.format("memory").queryName(f"mentions{i}").outputMode("complete")
+        q.option("checkpointLocation", str(tmp_path / f"cp{i}")).trigger(availableNow=True).start().awaitTermination(120)
+    got = {(r["video_id"], r["window_start"], r["mentions"]) for r in spark.table("mentions1").collect()}
+    assert got == {("long", 0, 1), ("long", 7200, 2), ("new", 0, 1)}
