@@ -50,6 +50,7 @@ while LEAST[-1] < 1 << 40:
 MOST = np.array([x * 5 // 4 for x in LEAST])
 LEAST = np.array(LEAST)
 SUBSETS = list(itertools.combinations(range(PARTS), PARTS - SPREAD))
+_MULTIPLIERS = [pow(0xA24BAED4963EE407, k + 1, 1 << 64) for k in range(PARTS)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -121,35 +122,42 @@ def fold(words: np.ndarray, n: int) -> np.ndarray:
     return words
 
 
+_BASES: dict[int, np.ndarray] = {}
+
+
+def _base(level: int, n1: int) -> np.ndarray:
+    """What tells the signatures of a band apart before their members do: the part and the subset."""
+    if level not in _BASES:
+        _BASES[level] = mix(np.arange(n1 * len(SUBSETS), dtype=U) * U(0xD1342543DE82EF95) + U(level) * U(0x9E3779B97F4A7C15)).reshape(n1, -1)
+    return _BASES[level]
+
+
 def signatures(s: np.ndarray) -> np.ndarray:
-    """Signatures of a set for its own band and the next; sets of a band that only equal sets can link with have none."""
+    """Signatures of a set (sorted) for its own band and the next; sets of a band that only equal sets can link with have none."""
     m = len(s)
     band = int(np.searchsorted(LEAST, m, side="right")) - 1
     out = [np.zeros(0, U)]
+    weight = (s >> U(11)).astype(float)
     with np.errstate(over="ignore"):
-        low, high = (s & U(0xFFFFFFFF)).astype(float), (s >> U(32)).astype(float)
         for level in (band, band + 1):
             most = int(MOST[level])
             if most < 5:  # sizes up to 4 leave no room for a difference
                 continue
             n1 = int(1.08 * (2 * most // 9 + 1)) // (SPREAD + 1) + 2
             differ = (m + min(most, 5 * m // 4)) // 9
-            h = mix(s + U(level))
-            cell = (h % U(n1)).astype(np.int64) * PARTS + ((h >> U(32)) % U(PARTS)).astype(np.int64)
-            size = n1 * PARTS
-            count = np.bincount(cell, minlength=size).reshape(n1, PARTS)
-            a, b = (np.bincount(cell, x, size).reshape(n1, PARTS) for x in (low, high))
-            robust = ((count > 0).sum(1) > SPREAD).sum()  # whichever smaller parts differ, one with members agrees
-            every = robust <= differ // (SPREAD + 1)
-            for which, subset in enumerate(SUBSETS):
-                subset = list(subset)
-                at = np.arange(n1) if every else np.nonzero(count[:, subset].sum(1) > 0)[0]
-                g = U(which + 1) * U(0xA24BAED4963EE407) + U(level) * U(0x9E3779B97F4A7C15)
-                x = mix(at.astype(U) * U(0xD1342543DE82EF95) + g)
-                for k in subset:
-                    x = mix(x * U(_STEP) + a[at, k].astype(U))
-                    x = mix(x * U(_STEP) + b[at, k].astype(U) + count[at, k].astype(U))
-                out.append(x)
+            cell = ((s * U(2 * level + 1) * U(_STEP)) >> U(33)) % U(n1 * PARTS)
+            # equal members, in equal order, give equal sums; a smaller part counts as filled if its sum is not 0
+            sums = np.bincount(cell.astype(np.int64), weight, n1 * PARTS)
+            filled = (sums > 0).reshape(n1, PARTS)
+            robust = np.count_nonzero(filled.sum(1) > SPREAD)  # whichever smaller parts differ, one with members agrees
+            held = mix(sums.view(U) + U(level)).reshape(n1, PARTS)
+            x, some = _base(level, n1), np.zeros((n1, len(SUBSETS)), bool)
+            for k, which in enumerate(zip(*SUBSETS)):
+                which = list(which)
+                x = x + held[:, which] * U(_MULTIPLIERS[k])
+                some |= filled[:, which]
+            x = mix(x)
+            out.append(x.ravel() if robust <= differ // (SPREAD + 1) else x[some])
     return np.concatenate(out)
 
 
