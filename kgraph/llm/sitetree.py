@@ -25,6 +25,7 @@ import html as _html
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,11 +167,22 @@ def parse(source: str | None) -> tuple[list[tuple[str, int, bool]], list[Node]]:
 
 
 def hash_(s: str) -> int:
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+_PATHS: dict[str, int] = {}
+
+
+def path_hash(path: str) -> int:
+    """hash_ of a path, kept for the paths that recur."""
+    got = _PATHS.get(path)
+    if got is None:
+        if len(_PATHS) > 100_000:
+            _PATHS.clear()
+        got = _PATHS[path] = hash_(path)
+    return got
+
+
 def _texts(blocks, nodes) -> dict[int, list[str]]:
     """The texts in each element that holds any, nodes[0] left out."""
     inside: dict[int, list[str]] = {}
@@ -194,9 +206,9 @@ def sightings(source: str | None) -> set[tuple[int, int, int, int]]:
         articles[i] = hash_("\n".join(inside[i])) if node.main and not nodes[node.parent].kept else articles.get(node.parent, page)
         of = articles[i] if node.kept else page
         styles.setdefault((node.path, of), []).append("/".join(node.children))
-        out.add((hash_(node.path), 1, hash_("\n".join(inside[i])), of))
+        out.add((path_hash(node.path), 1, hash_("\n".join(inside[i])), of))
     for (path, of), seen in styles.items():
-        out.add((hash_(path), 0, hash_("|".join(seen)), of))
+        out.add((path_hash(path), 0, hash_("|".join(seen)), of))
     return out
 
 
@@ -215,7 +227,7 @@ def main_text(source: str | None, importance=None, repeated=None, low: float = L
             links[i][linked] += 1
             held[i] += len(t)
             i = nodes[i].parent
-    tree = lambda i: importance.get(hash_(nodes[i].path), 1.0)
+    tree = lambda i: importance.get(path_hash(nodes[i].path), 1.0)
     for i, node in enumerate(nodes):
         if i == 0:
             weights.append(1.0)
@@ -233,7 +245,7 @@ def main_text(source: str | None, importance=None, repeated=None, low: float = L
         weights.append(w)
 
     def again(node, t):
-        x = repeated.get((hash_(node.path), hash_(t)))
+        x = repeated.get((path_hash(node.path), hash_(t)))
         return x is not None and (2 * x["n"] > x["m"] >= MIN_ARTICLES if node.kept else x["importance"] < low)
 
     def left(weights):
@@ -248,7 +260,7 @@ def main_text(source: str | None, importance=None, repeated=None, low: float = L
     if not out and blocks:
         total = sum(len(t) for t, _, _ in blocks)
         for i, node in enumerate(nodes):
-            if node.against == BY_NAME and 2 * held[i] > total and hash_(node.path) in importance and tree(i) >= SURE:
+            if node.against == BY_NAME and 2 * held[i] > total and path_hash(node.path) in importance and tree(i) >= SURE:
                 return "\n".join(left([1.0 if j == i else w for j, w in enumerate(weights)]))
     return "\n".join(out)
 
