@@ -1,7 +1,8 @@
 """The engine's operators as queries over the driver's tables, each with its SQL where SQL can express it.
 
 conversations stand for timed transcripts (a turn is a segment of ten seconds), documents for raw text, embeddings (grouped by label)
-for concept vectors. The concept dictionary is the 20 most frequent plain words of at least four letters.
+for concept vectors. The concept dictionary has the size of a shipped one: the most frequent plain words of at least four
+letters and, so that terms of two words overlap with others, pairs of such words with one blank between them.
 """
 
 from __future__ import annotations
@@ -11,14 +12,16 @@ from pyspark.sql import functions as F
 
 from kgraph.functions.dims import CUES, METHOD_WEIGHTS, OTHER_METHOD_WEIGHT, STOP_WORDS, lexicon_table
 from kgraph.functions.romanise import romanise
-from kgraph.functions.scalars import chunks, conjuncts, label_seconds, repaired, title_case
+from kgraph.functions.scalars import bind, chunks, conjuncts, label_seconds, repaired, title_case
 from kgraph.operators import concepts as C
 from kgraph.operators import export, graph, relations
 from kgraph.operators import normalise as N
 from kgraph.operators.iterate import components
 
 WORD = r"[\p{L}\p{N}_]+"
-N_TERMS = 20
+TOKEN = WORD + r"| +|[^\p{L}\p{N}_ ]+"
+PLAIN = "[a-z]{4,}"
+N_TERMS, N_PAIRS = 295, 95  # terms of the dictionary, and how many of them are pairs
 LEXICON = {"the": "le", "and": "et", "that": "dass", "with": "mit", "for": "", "this": "dies"}
 PHRASES = {"and the": "und die", "of the": "vom", "to the": "zum", "in the": "im"}
 MERGE_H = {"a": {"good": "well", "base": "basis"}, "b": {"good": "", "easy": "light"}}
@@ -54,10 +57,15 @@ def texts(spark, d):
     return read(spark, d, "documents").select(F.col("doc_id").alias("video_id"), "text")
 
 
-def dictionary(frame: DataFrame, n: int = N_TERMS) -> DataFrame:
-    words = frame.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("term")).where(F.col("term").rlike("^[a-z]{4,}$"))
-    top = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(n)
-    return frame.sparkSession.createDataFrame(top.collect(), "term string, n long")  # n rows
+def dictionary(frame: DataFrame) -> DataFrame:
+    """term, n: N_TERMS rows."""
+    toks = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
+    plain = lambda t: t.rlike(f"^{PLAIN}$")
+    second = lambda ts, i: F.when((F.get(ts, i + 1) == " ") & plain(F.get(ts, i + 2)), F.get(ts, i + 2))
+    found = bind(toks, lambda ts: F.flatten(F.transform(ts, lambda t, i: F.when(plain(t), F.array(t, F.concat(t, F.lit(" "), second(ts, i)))).otherwise(F.array().cast("array<string>")))))
+    terms = frame.select(F.explode(found).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    top = lambda pair, n: terms.where(F.contains("term", F.lit(" ")) == pair).orderBy(F.desc("n"), "term").limit(n)
+    return frame.sparkSession.createDataFrame(top(False, N_TERMS - N_PAIRS).unionByName(top(True, N_PAIRS)).collect(), "term string, n long")
 
 
 def counts(spark, d, words=None):
@@ -84,6 +92,14 @@ def found(spark, d):
     return C.mentions(s, dictionary(s).select(F.col("term").alias("name")))
 
 
+def ranked_names(s: DataFrame) -> DataFrame:
+    """video_id, name, concept_rank: the dictionary's terms that each video mentions, ranked as in the dictionary."""
+    words = dictionary(s)
+    ranks = words.select(F.col("term").alias("name"), F.row_number().over(Window.orderBy(F.desc("n"), "term")).alias("concept_rank"))
+    names = C.mentions(s, words.select(F.col("term").alias("name"))).select("video_id", "name").distinct()
+    return names.join(F.broadcast(ranks), "name")  # ranks: N_TERMS rows
+
+
 def firsts(m: DataFrame) -> DataFrame:
     return C.mention_times(m).select("video_id", "name", "first_sec", "first_mention")
 
@@ -100,12 +116,22 @@ def nodes(spark, d):
     return t.join(freq, ["video_id", "name"]).withColumn("importance_score", F.col("frequency") / F.max("frequency").over(Window.partitionBy("video_id")))
 
 
-T_SQL = f"SELECT doc_id AS video_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS w FROM documents"
-DICT_SQL = "SELECT w AS term, count(*) AS n FROM tok WHERE regexp_matches(w, '^[a-z]{{4,}}$') GROUP BY w ORDER BY n DESC, w LIMIT {n}"
-DOC_CTE = f"tok AS ({T_SQL}), dict AS ({DICT_SQL.format(n=N_TERMS)}), cnt AS (SELECT video_id, w AS term, count(*) AS n FROM tok WHERE w IN (SELECT term FROM dict) GROUP BY ALL)"
+
+
+def _tok_sql(columns, table):
+    """Words of a table's texts, and pairs of plain words."""
+    pair = f"CASE WHEN l[i + 1] = ' ' AND regexp_matches(l[i], '^{PLAIN}$') AND regexp_matches(l[i + 2], '^{PLAIN}$') THEN l[i] || ' ' || l[i + 2] END"
+    lists = f"SELECT *, regexp_extract_all(lower(text), '{TOKEN}') AS l FROM {table}"
+    each = f"list_concat(list_filter(l, lambda w: regexp_matches(w, '^{WORD}$')), list_filter(list_transform(range(1, len(l) - 1), lambda i: {pair}), lambda w: w IS NOT NULL))"
+    return f"tok AS (SELECT {columns}, unnest({each}) AS w FROM ({lists}))"
+
+
+DICT_SQL = f"""dict AS (SELECT term, n FROM (SELECT w AS term, count(*) AS n FROM tok WHERE regexp_matches(w, '^{PLAIN}( {PLAIN})?$') GROUP BY w)
+ QUALIFY row_number() OVER (PARTITION BY contains(term, ' ') ORDER BY n DESC, term) <= CASE WHEN contains(term, ' ') THEN {N_PAIRS} ELSE {N_TERMS - N_PAIRS} END)"""
+DOC_CTE = f"{_tok_sql('doc_id AS video_id', 'documents')}, {DICT_SQL}, cnt AS (SELECT video_id, w AS term, count(*) AS n FROM tok WHERE w IN (SELECT term FROM dict) GROUP BY ALL)"
 SCORE_CTE = DOC_CTE + ", sc AS (SELECT video_id, term AS concept, n, least(ln(1 + n) / ln(1 + greatest(3, max(n) OVER (PARTITION BY video_id))), 1.0) AS score FROM cnt)"
-CONV_TOK = f"tok AS (SELECT conv_id AS video_id, turn::INT AS seg_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS w FROM conversations)"
-M_CTE = f"{CONV_TOK}, dict AS ({DICT_SQL.format(n=N_TERMS)}), m AS (SELECT DISTINCT video_id, seg_id, w AS name FROM tok WHERE w IN (SELECT term FROM dict))"
+CONV_TOK = _tok_sql("conv_id AS video_id, turn::INT AS seg_id", "conversations")
+M_CTE = f"{CONV_TOK}, {DICT_SQL}, m AS (SELECT DISTINCT video_id, seg_id, w AS name FROM tok WHERE w IN (SELECT term FROM dict))"
 LABEL = "(({x}) // 60)::VARCHAR || ':' || lpad((({x}) % 60)::VARCHAR, 2, '0')"
 F_CTE = M_CTE + f", f AS (SELECT video_id, name, min(seg_id) * 10 AS first_sec, {LABEL.format(x='min(seg_id) * 10')} AS first_mention, count(*) AS frequency FROM m GROUP BY ALL)"
 E_CTE = F_CTE + f""", e AS (
@@ -289,10 +315,10 @@ def rake_phrase_scores(spark, d):
     return phrases(spark, d).select("video_id", "phrase", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {RAKE_CTE}, {M_CTE.replace('tok AS', 'tok AS', 1)},
+@query(f"""WITH {RAKE_CTE}, {M_CTE},
  rel AS (SELECT *, score / max(score) OVER (PARTITION BY video_id) AS rel FROM rk),
  ex AS (SELECT video_id, phrase AS concept, rel FROM rel WHERE phrase IN (SELECT term FROM dict)),
- pa AS (SELECT video_id, term AS concept, 0.8 * rel AS rel FROM rel JOIN dict ON list_contains(words, term) WHERE phrase NOT IN (SELECT term FROM dict))
+ pa AS (SELECT video_id, term AS concept, 0.8 * rel AS rel FROM rel JOIN dict ON list_has_all(words, string_split(term, ' ')) WHERE phrase NOT IN (SELECT term FROM dict))
 SELECT video_id, concept, round(max(rel), 6) AS rake FROM (SELECT * FROM ex UNION ALL SELECT * FROM pa) GROUP BY ALL""")
 def rake_concept_containment(spark, d):
     names = dictionary(turns(spark, d)).select(F.col("term").alias("concept"))
@@ -303,7 +329,7 @@ def rake_concept_containment(spark, d):
 @query(f"""WITH {RAKE_CTE}, {M_CTE},
  rel AS (SELECT *, score / max(score) OVER (PARTITION BY video_id) AS rel FROM rk),
  rc AS (SELECT video_id, concept, max(rel) AS rake FROM (SELECT video_id, phrase AS concept, rel FROM rel WHERE phrase IN (SELECT term FROM dict)
-   UNION ALL SELECT video_id, term, 0.8 * rel FROM rel JOIN dict ON list_contains(words, term) WHERE phrase NOT IN (SELECT term FROM dict)) GROUP BY ALL),
+   UNION ALL SELECT video_id, term, 0.8 * rel FROM rel JOIN dict ON list_has_all(words, string_split(term, ' ')) WHERE phrase NOT IN (SELECT term FROM dict)) GROUP BY ALL),
  cn AS (SELECT video_id, w AS concept, count(*) AS n FROM tok WHERE w IN (SELECT term FROM dict) GROUP BY ALL),
  fq AS (SELECT video_id, concept, least(ln(1 + n) / ln(1 + greatest(3, max(n) OVER (PARTITION BY video_id))), 1.0) AS fs FROM cn)
 SELECT video_id, concept, round(coalesce(fs, 0) * 0.5 + coalesce(rake, 0) * 0.3 + coalesce(fs, 0) * 0.2, 6) AS score FROM fq FULL OUTER JOIN rc USING (video_id, concept)""")
@@ -374,18 +400,15 @@ QUALIFY row_number() OVER (PARTITION BY video_id, src, dst ORDER BY seg_id, sent
 def pattern_edges(spark, d):
     """All cues over all segments; concepts of a video are the dictionary's terms that it mentions, ranked as in the dictionary."""
     s = turns(spark, d)
-    words = dictionary(s)
-    ranks = words.select(F.col("term").alias("name"), F.row_number().over(Window.orderBy(F.desc("n"), "term")).alias("concept_rank"))
-    names = C.mentions(s, words.select(F.col("term").alias("name"))).select("video_id", "name").distinct().join(F.broadcast(ranks), "name")  # ranks: N_TERMS rows
-    return relations.pattern_edges(s.withColumn("text", with_cues(F.col("text"))), names, CUES)
+    return relations.pattern_edges(s.withColumn("text", with_cues(F.col("text"))), ranked_names(s), CUES)
 
 
-@query(f"""WITH {M_CTE}, dd AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) AS rk FROM dict), fr AS (SELECT conv_id AS video_id, turn AS seg_id, lower(trim(text)) AS p FROM conversations)
-SELECT video_id, seg_id, term AS name FROM fr JOIN dd ON contains(p, term) QUALIFY row_number() OVER (PARTITION BY video_id, seg_id ORDER BY (p = term)::INT DESC, length(term) DESC, rk) = 1""")
+@query(f"""WITH {M_CTE}, dd AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) AS rk FROM dict), k AS (SELECT DISTINCT video_id, name, rk FROM m JOIN dd ON term = name),
+ fr AS (SELECT conv_id AS video_id, turn AS seg_id, lower(trim(text)) AS p FROM conversations)
+SELECT video_id, seg_id, name FROM fr JOIN k USING (video_id) WHERE contains(p, name) QUALIFY row_number() OVER (PARTITION BY video_id, seg_id ORDER BY (p = name)::INT DESC, length(name) DESC, rk) = 1""")
 def longest_fragment_concept(spark, d):
     c = read(spark, d, "conversations")
-    names = dictionary(c).withColumn("concept_rank", F.row_number().over(Window.orderBy(F.desc("n"), "term"))).select(F.col("term").alias("name"), "concept_rank")
-    per = c.select(F.col("conv_id").alias("video_id")).distinct().join(F.broadcast(names))  # 20 names a video
+    per = ranked_names(turns(spark, d))
     frag = c.select(F.struct("conv_id", "turn").alias("frag_id"), F.col("conv_id").alias("video_id"), F.col("text").alias("fragment"))
     whole = relations.fragment_concepts(frag.withColumn("fragment", F.regexp_replace(F.lower("fragment"), r"\s(?=(?:aur|and|or|ya|evam)\s)", "_")), per)
     return whole.select(F.col("frag_id.conv_id").alias("video_id"), F.col("frag_id.turn").alias("seg_id"), "name")
