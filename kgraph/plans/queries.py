@@ -75,10 +75,10 @@ def counts(spark, d, words=None):
 
 
 def aliases(words):
-    """The second half of the dictionary, by rank, stands for the first."""
+    """The second half of the dictionary, by rank, stands for the terms half a dictionary before."""
     r = words.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "term")))
     half = N_TERMS // 2
-    a, b = r.where(F.col("r") > half).select(F.col("term").alias("alias"), (F.col("r") - half).alias("k")), r.where(F.col("r") <= half).select(F.col("term").alias("canonical"), F.col("r").alias("k"))
+    a, b = r.where(F.col("r") > half).select(F.col("term").alias("alias"), (F.col("r") - half).alias("k")), r.select(F.col("term").alias("canonical"), F.col("r").alias("k"))
     return a.join(b, "k").select("alias", "canonical")
 
 
