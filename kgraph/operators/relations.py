@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgraph.functions.dims import gate
+from kgraph.functions.dims import ODD_CASES, anchored, needed, pieces
 from kgraph.functions.scalars import conjuncts, sentences
 
 #: fixed values: what edges without a sentence give as evidence
@@ -27,15 +29,19 @@ def cue_matches(sents: DataFrame, cues: list[tuple[str, str, float]]) -> DataFra
     """One row per match of a cue in a sentence: pat_idx, direction, confidence, match_idx, first, second.
 
     Patterns are literals, so each is compiled once per task; they run in one pass over the sentences, and only where
-    the cue's gate is found.
+    all pieces of the cue are found, first by plain search of what the pieces need.
     """
     found = []
+    either = lambda tests: reduce(Column.__or__, tests)
+    rows = sents.withColumns({"_low": F.lower("sentence"), "_odd": either([F.contains("sentence", F.lit(c)) for c in ODD_CASES])})
     for i, (pattern, direction, confidence) in enumerate(cues):
-        p = F.lit(f"(?iU){pattern}")
+        p = F.lit(f"(?iU){anchored(pattern)}")
         both = F.zip_with(F.regexp_extract_all("sentence", p, F.lit(1)), F.regexp_extract_all("sentence", p, F.lit(2)), lambda x, y: F.struct(x.alias("first"), y.alias("second")))
-        hits = F.when(F.col("sentence").rlike(f"(?iU){gate(pattern)}"), both)
+        plain = [F.col("_odd") | either([F.contains("_low", F.lit(t)) for t in texts]) for x in pieces(pattern) if (texts := needed(x))]
+        gates = [*plain, *(F.col("sentence").rlike(f"(?iU){x}") for x in pieces(pattern))]
+        hits = F.when(reduce(Column.__and__, gates, F.lit(True)), both)
         found.append(F.struct(F.lit(i).alias("pat_idx"), F.lit(direction).alias("direction"), F.lit(float(confidence)).alias("confidence"), hits.alias("hits")))
-    rows = sents.select("*", F.explode(F.filter(F.array(*found), lambda f: F.size(f["hits"]) > 0)).alias("f"))
+    rows = rows.select(*sents.columns, F.explode(F.filter(F.array(*found), lambda f: F.size(f["hits"]) > 0)).alias("f"))
     rows = rows.select(*sents.columns, "f.pat_idx", "f.direction", "f.confidence", F.posexplode("f.hits").alias("match_idx", "h"))
     return rows.select(*sents.columns, "pat_idx", "direction", "confidence", "match_idx", "h.first", "h.second")
 

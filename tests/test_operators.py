@@ -341,3 +341,30 @@ def test_windowed_mentions_of_lectures_one_after_the_other(spark, tmp_path):
         q.option("checkpointLocation", str(tmp_path / f"cp{i}")).trigger(availableNow=True).start().awaitTermination(120)
     got = {(r["video_id"], r["window_start"], r["mentions"]) for r in spark.table("mentions1").collect()}
     assert got == {("long", 0, 1), ("long", 7200, 2), ("new", 0, 1)}
+
+
+def test_cue_matches_are_every_patterns_matches(spark):
+    """Random lines, blanks and odd letters, against the patterns themselves: no gate, no anchor."""
+    import re
+
+    r = random.Random(5)
+    bits = "stack queue tree ke baad liye bina zaruri hai nahi depends on leads to works with uses is required for se banta first then need without not possible pehle phir par depend karta use mein , KE BAAD uſes".split() + ["  ", "\n", "\n\n", " \n ", " "]
+    texts = ["x " + " ".join(r.choices(bits, k=r.randrange(4, 60))) for _ in range(1500)]
+    texts += ["a uses b uses c\nd uses e", "uses b", "a\nuses b", "a  uses b", "stack uſes queue", "a ke baad b, c ke baad d\r\ne ke baad f"]
+    s = spark.createDataFrame(list(enumerate(texts)), "k long, sentence string")
+    got = {(x["k"], x["pat_idx"], x["match_idx"], x["first"], x["second"]) for x in relations.cue_matches(s, CUES).collect()}
+    dot = "[^\\n\\r\\u0085\\u2028\\u2029]"
+    want = {(k, i, n, m[1], m[2]) for k, t in enumerate(texts) for i, (p, *_) in enumerate(CUES) for n, m in enumerate(re.finditer(p.replace(".+?", dot + "+?"), t, re.I))}
+    assert got == want and len(want) > 1000
+
+
+def test_long_sentences_take_linear_time(spark):
+    """After the last match of a cue, the rest of a sentence was searched from each of its characters."""
+    import time
+
+    head = "a ke baad b, c uses d, e leads to f, g works with h, i depends on j, "
+    s = spark.createDataFrame([(1, head + "lorem " * 25_000)], "k long, sentence string")
+    start = time.time()
+    got = {(x["pat_idx"], x["first"]) for x in relations.cue_matches(s, CUES).collect()}
+    assert time.time() - start < 30
+    assert {(2, "a"), (22, "a ke baad b, c"), (16, "a ke baad b, c uses d, e")} <= got
