@@ -13,6 +13,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,19 +24,87 @@ METRICS = "video_id {key}, name string, pagerank double, betweenness double, in_
 
 
 # --- de-duplication -------------------------------------------------------------------------------------------------
+def _units(vectors: DataFrame) -> DataFrame:
+    """Vectors of length 1; zero vectors stay."""
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return vectors.withColumn("_n", norm).withColumn("v", F.transform("v", lambda x: x / F.when(F.col("_n") == 0, 1.0).otherwise(F.col("_n"))))
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, key: str = "video_id") -> DataFrame:
     """key, id, v (array<double>) -> pairs a < b of one key with cosine of at least threshold.
 
     All pairs of one key meet, as a key is one lecture's concept list; zero vectors have cosine 0 with all.
     """
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    unit = vectors.withColumn("_n", norm).withColumn("v", F.transform("v", lambda x: x / F.when(F.col("_n") == 0, 1.0).otherwise(F.col("_n"))))
+    unit = _units(vectors)
     a = unit.select(key, F.col("id").alias("a"), F.col("v").alias("va"))
     b = unit.select(key, F.col("id").alias("b"), F.col("v").alias("vb"))
     cosine = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return a.join(b, key).where("a < b").withColumn("cosine", cosine).where(F.col("cosine") >= threshold).select(key, "a", "b", "cosine")
 
 
+LINK_BLOCK, LINK_TILE = 4096, 512  # vectors that meet in one task, and rows of them in one product
+NEAR = 1e-9  # far above the rounding of a product of unit vectors
+
+
+def similar_links(vectors: DataFrame, threshold: float, key: str = "video_id") -> DataFrame:
+    """a, b (ids) that join just those rows that the pairs of `similar_pairs` join, with fewer rows than pairs.
+
+    All rows of a key meet, in blocks: per two blocks one matrix product tells the linked rows, and every row is joined
+    with the smallest id it reaches there. A cosine within NEAR of the threshold is summed again in the order of `similar_pairs`.
+    """
+    kind = vectors.schema["id"].dataType.simpleString()
+    unit = _units(vectors).where(f"{key} IS NOT NULL AND id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
+    unit = unit.select(F.col(key).alias("_k"), F.size("v").alias("_d"), "id", "v")
+    blocks = unit.groupBy("_k", "_d").agg(F.ceil(F.count(F.lit(1)) / F.lit(LINK_BLOCK)).cast("int").alias("_blocks"))
+    at = F.pmod(F.xxhash64("id", "v"), F.col("_blocks")).cast("int")
+    dealt = unit.join(blocks, ["_k", "_d"]).withColumn("_at", at)
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
+    met = dealt.select("_k", "_d", "id", "v", "_at", other).select("_k", "_d", F.least("_at", "_other").alias("_p"), F.greatest("_at", "_other").alias("_q"), "_at", "id", "v")
+
+    def run(rows: pa.Table) -> pa.Table:
+        first, second, n, width = rows.column("_p")[0].as_py(), rows.column("_q")[0].as_py(), rows.num_rows, rows.column("_d")[0].as_py()
+        flat = pa.concat_arrays([c.flatten() for c in rows.column("v").chunks])
+        v, ids, at = flat.to_numpy(zero_copy_only=False).reshape(n, width), rows.column("id").to_pylist(), rows.column("_at").to_numpy()
+        links = _reached(v, ids, np.nonzero(at == first)[0], np.nonzero(at == second)[0], threshold)
+        return pa.Table.from_arrays([pa.array([ids[x] for x in side], rows.schema.field("id").type) for side in zip(*links)] or [pa.array([], rows.schema.field("id").type)] * 2, names=["a", "b"])
+
+    return met.groupBy("_k", "_d", "_p", "_q").applyInArrow(run, f"a {kind}, b {kind}")
+
+
+def _reached(v: np.ndarray, ids: list, left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """(row of the smallest id, row) per linked row: components of the rows left and right, where only unequal ids of the two sides link."""
+    number = {x: i for i, x in enumerate(sorted(set(ids)))}
+    rank = np.array([number[x] for x in ids])
+    linked = np.zeros((len(left), len(right)), bool)
+    for lo in range(0, len(left), LINK_TILE):
+        rows = left[lo : lo + LINK_TILE]
+        cosine = v[rows] @ v[right].T
+        hit = ~(cosine < threshold - NEAR)  # NaN counts as large, as in SQL
+        hit &= rank[rows][:, None] != rank[right][None, :]
+        i, j = np.nonzero(hit & (cosine <= threshold + NEAR))
+        for k in range(0, len(i), 4096):
+            x, y = i[k : k + 4096], j[k : k + 4096]
+            exact = np.cumsum(v[rows[x]] * v[right[y]], axis=1)[:, -1]
+            hit[x, y] = exact >= threshold
+        linked[lo : lo + LINK_TILE] = hit
+    out, fresh, open_rows, reached = [], linked.any(1), np.ones(len(left), bool), np.zeros(len(right), bool)
+    for start in np.nonzero(fresh)[0]:
+        if not open_rows[start]:
+            continue
+        wave, mine, theirs = np.array([start]), [], []
+        while len(wave):
+            open_rows[wave] = False
+            mine.append(left[wave])
+            new = np.nonzero(linked[wave].any(0) & ~reached)[0]
+            reached[new] = True
+            theirs.append(right[new])
+            wave = np.nonzero(linked[:, new].any(1) & open_rows)[0]
+        members = np.concatenate(mine + theirs)
+        least = members[np.argmin(rank[members])]
+        out += [(least, m) for m in np.unique(members) if rank[m] != rank[least]]
+    return out
+
+
 def similar_names(concepts: DataFrame, threshold: float) -> DataFrame:
     """The fallback without embeddings: pairs a < b (names) of one video whose sequence-matching ratio reaches threshold."""
 

@@ -475,7 +475,7 @@ def cosine_similar_pairs(spark, d):
 
 @query(f"WITH RECURSIVE {PAIR_SQL}, {COMP_SQL} SELECT node, root FROM cm")
 def dedup_components(spark, d):
-    return components(pairs(spark, d).select("a", "b"))
+    return components(graph.similar_links(vectors(spark, d), SIMILAR, key="label"))
 
 
 @query(f"""WITH RECURSIVE {PAIR_SQL}, {COMP_SQL}, x AS (SELECT v.id, coalesce(root, v.id) AS root FROM v LEFT JOIN cm ON node = v.id)

@@ -368,3 +368,36 @@ def test_long_sentences_take_linear_time(spark):
     got = {(x["pat_idx"], x["first"]) for x in relations.cue_matches(s, CUES).collect()}
     assert time.time() - start < 30
     assert {(2, "a"), (22, "a ke baad b, c"), (16, "a ke baad b, c uses d, e")} <= got
+
+
+def test_links_join_what_pairs_join(spark, monkeypatch):
+    """Several blocks, repeated ids and vectors, nulls, zeros, not-a-numbers, other lengths, cosines at the threshold."""
+    import numpy as np
+
+    from kgraph.operators.iterate import components
+
+    r = np.random.default_rng(3)
+    base = r.normal(size=(40, 6))
+    rows = [(int(k % 3), int(k if k % 17 else k // 2), [float(x) for x in base[k % 40] + (k % 4 > 1) * r.normal(size=6)]) for k in range(300)]
+    rows += [(0, 1000, [0.0] * 6), (1, 1001, None), (1, 1002, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2, 1003, [1.0, 2.0]), (2, 1004, [2.0, 4.0]), (None, 1005, [1.0, 2.0])]
+    rows += [(5, 2000 + k, [float(np.cos(k)), float(np.sin(k))]) for k in range(8)] + [(6, 1, [1.0, 0.0]), (6, 2, [float("nan"), 0.0]), (6, 3, [0.0, 1.0])]
+    v = spark.createDataFrame(rows, "label int, id long, v array<double>")
+    monkeypatch.setattr(graph, "LINK_BLOCK", 16)
+    for threshold in (0.9, float(np.cos(1.0)), 0.99999):
+        got, want = ({tuple(x) for x in components(e.select("a", "b")).collect()} for e in (graph.similar_links(v, threshold, key="label"), graph.similar_pairs(v, threshold, key="label")))
+        assert got == want and got
+
+
+@pytest.mark.parametrize("query", ["dedup_components", "dedup_canonical_aggregate"])
+def test_large_groups_of_copies_need_no_list_of_pairs(spark, tmp_path, query):
+    """Three groups of 6,000 near copies under one label: 54 million pairs."""
+    import time
+
+    from kgraph.plans.queries import QUERIES
+
+    axis = lambda k: F.array(*[F.when(k == i, 1.0).otherwise((F.col("vec_id") % 50) / 100_000).cast("float") for i in range(24)])
+    spark.range(18_000).select(F.col("id").alias("vec_id"), F.lit(1).alias("label")).withColumn("embedding", axis(F.col("vec_id") % 3)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    start = time.time()
+    got = {x["root"]: x[1] for x in (QUERIES[query](spark, str(tmp_path)) if query == "dedup_canonical_aggregate" else QUERIES[query](spark, str(tmp_path)).groupBy("root").count()).collect()}
+    assert time.time() - start < 60
+    assert got == {0: 6000, 1: 6000, 2: 6000}
