@@ -482,7 +482,7 @@ def dedup_components(spark, d):
 SELECT root, count(*) AS members, max(id) AS canonical, sum(id % 7)::BIGINT AS frequency FROM x GROUP BY root""")
 def dedup_canonical_aggregate(spark, d):
     v = vectors(spark, d).select(F.col("id").alias("node"))
-    x = v.join(components(pairs(spark, d).select("a", "b")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    x = v.join(components(graph.similar_links(vectors(spark, d), SIMILAR, key="label")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     return x.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.max_by("node", "node").alias("canonical"), F.sum(F.col("node") % 7).alias("frequency"))
 
 
