@@ -71,8 +71,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
     return texts.withColumn("_n", place).where(F.col("_n") <= per_class).select("text", F.col("_label").alias("label"), "_n")
 
 
+PIECE = 1 << 20
+
+
 def fitted(sample: DataFrame, fit) -> bytes | None:
-    """fit(rows (text, label), by label and place) of a bounded sample, run in one executor task; the pickled model, null for none."""
+    """fit(rows (text, label), by label and place) of a bounded sample, run in one executor task; the pickled model, null for none.
+
+    The model reaches the driver in pieces, as one large row takes several times its size there. The driver's socket ends
+    without an error if the driver runs out of memory, so a model that is not whole is an error here.
+    """
 
     def run(batches):
         rows = []
@@ -80,10 +87,15 @@ def fitted(sample: DataFrame, fit) -> bytes | None:
             rows += zip(*(batch.column(i).to_pylist() for i in range(3)))
         rows.sort(key=lambda r: (r[1], r[2]))
         model = fit([(text, label) for text, label, _ in rows])
-        yield pa.RecordBatch.from_arrays([pa.array([None if model is None else pickle.dumps(model)], pa.binary())], names=["model"])
-
-    got = [r["model"] for r in sample.repartition(1).mapInArrow(run, "model binary").collect() if r["model"] is not None]
-    return bytes(got[0]) if got else None
+        data = b"" if model is None else pickle.dumps(model)
+        for at in range(0, max(1, len(data)), PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array([len(data)], pa.int64()), pa.array([at], pa.int64()), pa.array([data[at : at + PIECE]], pa.binary())], names=["size", "at", "piece"])
+
+    got = sample.repartition(1).mapInArrow(run, "size long, at long, piece binary").collect()
+    data = b"".join(bytes(r["piece"]) for r in sorted(got, key=lambda r: r["at"]))
+    if len(data) != got[0]["size"] if got else not sample.isEmpty():
+        raise RuntimeError(f"of a model's {got[0]['size'] if got else 'unknown number of'} bytes {len(data)} reached the driver")
+    return data or None
 
 
 def slices(batches, rows: int = 200):

@@ -2,9 +2,11 @@ import pickle
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
-from kgraph.llm import linecrf, quality, toxicity
+from kgraph.llm import common, linecrf, quality, toxicity
 from tests.llm.fixtures import documents, empty, texts
 
 D = "/root/testdata/sf0.1"
@@ -171,3 +173,17 @@ def test_ids_beyond_doubles_stay_exact(spark):
         assert {r["doc_id"] for r in out.collect()} == {big, None, big + 2}
     for out in (quality.filter_quality(docs, None), linecrf.filter_lines(docs, None)):
         assert out.schema == docs.schema and (big, 1) in {(r["doc_id"], r["extra"]) for r in out.collect()}
+
+
+def test_a_model_reaches_the_driver_whole_or_not_at_all(spark, monkeypatch):
+    """A model of several pieces is the same on the driver; one that got lost on the way is an error, not "no model"."""
+    sample = spark.createDataFrame([("a", 0, 1), ("b", 1, 1)], "text string, label int, _n int")
+    want = bytes(range(256)) * 10_000
+    assert pickle.loads(common.fitted(sample, lambda rows: (rows, want))) == ([("a", 0), ("b", 1)], want)
+    assert common.fitted(sample, lambda rows: None) is None
+    assert common.fitted(sample.limit(0), lambda rows: None) is None
+    collect = DataFrame.collect
+    for left in (0, 1):
+        monkeypatch.setattr(DataFrame, "collect", lambda self: collect(self)[:left])
+        with pytest.raises(RuntimeError):
+            common.fitted(sample, lambda rows: want)
