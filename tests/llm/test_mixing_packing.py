@@ -1,3 +1,8 @@
+import os
+import random
+import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -42,6 +47,29 @@ def test_mix_edge_rows(spark):
     assert mixing.mix_sources(empty(spark)).count() == 0
 
 
+def test_sizes_of_odd_texts(spark):
+    rng = random.Random(5)
+    letters = " \t\n\x0b\x0c\r  ab\x01\x1f\x00\x85\xa0\u00e9\u4e2d\U0001f600$\\"
+    cases = [None, "", " ", "\n\t ", "x", " x", "x ", *("".join(rng.choice(letters) for _ in range(rng.randrange(14))) for _ in range(3000)), "a " * 100_000, " " * 100_000]
+    got = spark.createDataFrame([(t,) for t in cases], "text string").select("text", mixing.size_of(F.col("text")).alias("n")).collect()
+    assert len(got) == len(cases) and all(r["n"] == len(re.findall("[^\x20\x09-\x0d]+", r["text"] or "")) for r in got)
+
+
+LONG_TEXT = """
+from pyspark.sql import SparkSession, functions as F
+from kgraph.llm.mixing import size_of
+spark = SparkSession.builder.master("local[2]").config("spark.driver.memory", "512m").config("spark.ui.enabled", "false").getOrCreate()
+print("SIZE", spark.range(1).select(size_of(F.repeat(F.lit("a "), (F.col("id") + 7_000_000).cast("int")))).first()[0])
+"""
+
+
+def test_size_of_a_long_text_holds_no_list_of_words():
+    """A text of 14 MB in a heap of 512 MB, of which a list of its words takes all; in a session of its own, as the lack of memory would end it."""
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("SPARK_", "PYSPARK_"))}
+    done = subprocess.run([sys.executable, "-c", LONG_TEXT], env=env, capture_output=True, text=True, timeout=300)
+    assert "SIZE 7000000" in done.stdout, done.stderr[-2000:]
+
+
 def ids(text):
     from tokenizers import Tokenizer
 
