@@ -75,7 +75,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_ratio=MAX_RATIO, seed=SEED
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     slim = materialise(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "mix")
-    return mix_plan(slim, "size").select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    plan = mix_plan(slim, "size").select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    return plan.coalesce(buckets_for(slim.count()))  # of narrow rows: no files of a few rows each
 
 
 ORACLE = f"""

@@ -22,6 +22,20 @@ def test_mix_against_sql(spark):
     assert rows(got) == rows(want)
 
 
+def test_mix_writes_no_file_for_each_shuffle_partition(spark, tmp_path):
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        mixing.op1_mix_sources(spark, D).write.parquet(f"{tmp_path}/out")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(list((tmp_path / "out").glob("part-*"))) <= 16
+    assert rows(spark.read.parquet(f"{tmp_path}/out").toPandas()) == rows(connect(D).sql(mixing.ORACLE).df())
+
+
 def test_mix_shares(spark):
     rows_ = [(i, f"s{i % 4}", 1 + i % 50) for i in range(4000)] + [(9000 + i, None, 3) for i in range(10)] + [(9999, "zero", 0)]
     plan = mixing.mix_plan(spark.createDataFrame(rows_, "doc_id long, source string, size long"), "size").collect()
